@@ -1,0 +1 @@
+"""Empty on purpose: every input of this library is a bounded table, so there is nothing to stream."""
