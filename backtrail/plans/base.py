@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from backtrail.operators.history import History
 from backtrail.operators.parse import add_clock, add_labels, parse_events
@@ -64,6 +65,13 @@ def customer_times(df: DataFrame) -> History:
     return History.of(df, "customer_id", ORDER, setting(df.sparkSession, "backtrail.rows.per.range.task"))
 
 
+def fixed(column: str | Column, digits: int = 6) -> Column:
+    """Round half up in plain double arithmetic, as `with_views` writes round() for the other engine."""
+    value = F.col(column) if isinstance(column, str) else column
+    scale = float(10**digits)
+    return F.floor(value * scale + 0.5) / scale
+
+
 # -- SQL side ---------------------------------------------------------------------------------------
 
 _CODES = ", ".join(
@@ -123,7 +131,26 @@ WINDOWS = {
 def with_views(sql: str) -> str:
     for short, text in WINDOWS.items():
         sql = sql.replace(short, text)
+    sql = _plain_rounding(sql)
     body = sql.strip()
     if body.upper().startswith("WITH "):
         return f"{_VIEWS}, {body[5:]}"
     return f"{_VIEWS} {body}"
+
+
+def _plain_rounding(sql: str) -> str:
+    """round(x, d) -> floor(x * 10^d + 0.5) / 10^d; engines differ on halves otherwise."""
+    at = sql.rfind("round(")
+    while at >= 0:
+        depth, comma, end = 0, None, at + 5
+        for end in range(at + 5, len(sql)):
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            if depth == 1 and sql[end] == ",":
+                comma = end
+            if depth == 0:
+                break
+        if comma is not None:
+            value, scale = sql[at + 6 : comma], f"1e{int(sql[comma + 1 : end])}"
+            sql = f"{sql[:at]}(floor(({value}) * {scale} + 0.5) / {scale}){sql[end + 1 :]}"
+        at = sql.rfind("round(", 0, at)
+    return sql

@@ -8,8 +8,7 @@ from backtrail.functions import fields as f
 from backtrail.functions import measures as m
 from backtrail.operators import quality
 from backtrail.operators.parse import MISSING_FLAGS, PLAIN_CODES, TEXT_CODES, add_split
-from backtrail.plans.base import HALF_TIME, bank_events, clocked, events, labelled, query, with_views
-from backtrail.plans.base import REGISTRY, Query
+from backtrail.plans.base import HALF_TIME, REGISTRY, Query, bank_events, clocked, events, fixed, labelled, query, with_views
 
 
 def projection(name, covers, columns, source=bank_events, view="bank_events"):
@@ -22,9 +21,7 @@ def projection(name, covers, columns, source=bank_events, view="bank_events"):
     REGISTRY[name] = Query(run, with_views(f"SELECT event_id, {body} FROM {view}"), covers)
 
 
-def r6(column):
-    return F.round(column, 6)
-
+r6 = fixed
 
 projection("parsed_event_time", ("P1",), {
     "event_ts": (lambda: f.event_time("event_dttm"), "CAST(event_dttm AS TIMESTAMP)"),
@@ -120,7 +117,7 @@ projection("screen_area_and_ratio", ("P14",), {
     "screen_pixels_or_unknown": (lambda: f.screen_pixels("screen_w", "screen_h", -1), f"CASE WHEN {_KNOWN} THEN screen_w * screen_h ELSE -1 END"),
     "screen_ratio": (lambda: r6(f.screen_ratio("screen_w", "screen_h")), f"CASE WHEN {_KNOWN} THEN round(screen_w / CAST(screen_h AS DOUBLE), 6) ELSE 0.0 END"),
     "screen_ratio_eps": (
-        lambda: F.round(f.screen_ratio("screen_w", "screen_h", 1e-6), 9),
+        lambda: fixed(f.screen_ratio("screen_w", "screen_h", 1e-6), 9),
         f"CASE WHEN {_KNOWN} THEN round(screen_w / (CAST(screen_h AS DOUBLE) + 1e-6), 9) ELSE 0.0 END",
     ),
 }, events, "ev")
