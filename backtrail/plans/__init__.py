@@ -1,6 +1,6 @@
 """The comparison queries, one per operator."""
 
-from backtrail.plans import histories, parsing  # noqa: F401
+from backtrail.plans import histories, labels, parsing  # noqa: F401
 from backtrail.plans.base import REGISTRY
 
 __all__ = ["REGISTRY"]
