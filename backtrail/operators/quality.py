@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from backtrail.operators.history import History, Past
+from backtrail.operators.joins import only_row
+from backtrail.operators.lookups import lookup
 
 
 def unpivoted(df: DataFrame, columns: list[str], name: str, value: str, ids: list[str] | None = None) -> DataFrame:
@@ -80,8 +82,8 @@ def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, fl
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     ranked = History.of(counts, keys, ["_v"]).past(_below=Past.sum("_n")).frame()
-    totals = ranked.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    placed = ranked.join(totals, keys) if keys else ranked.crossJoin(F.broadcast(totals))
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    placed = lookup(ranked, totals, keys) if keys else ranked.withColumns({"_total": only_row(totals)["_total"]})
     columns = []
     for name, p in points.items():
         place = (F.col("_total") - 1) * p
