@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from backtrail.functions import measures as m
+from backtrail.operators.history import History, Past
+from backtrail.operators.joins import only_row
 from backtrail.operators.lookups import lookup
 
 
@@ -37,26 +41,23 @@ def one_day_per_customer(df: DataFrame, start: str, end: str, seed: int = 42) ->
     return lookup(dated, days, ["customer_id", "_date"], "left_semi").drop("_date")
 
 
-def monthly_folds(df: DataFrame, first: str, end: str, train_start: str, months: int | None = 3) -> DataFrame:
-    """Fold table: month-long validation spans, each trained on the `months` before it, or on all.
+def month_spans(first: str, end: str, train_start: str, months: int | None = 3) -> list[tuple[str, str, str, str]]:
+    """Validation months from `first` to `end`, each trained on the `months` before it, or on all.
 
-    The table is built by Spark from the fold bounds; it has one row per month.
+    Spans are (name, train start, validation start, validation end).
     """
-    spark = df.sparkSession
-    starts = spark.range(1).select(
-        F.posexplode(F.sequence(F.lit(first).cast("date"), F.lit(end).cast("date") - F.expr("interval 1 day"), F.expr("interval 1 month"))).alias("i", "valid_start")
-    )
-    earliest = F.lit(train_start).cast("date")
-    train_from = earliest if months is None else F.greatest(earliest, F.add_months("valid_start", -months))
-    spans = starts.select(
-        train_from.alias("train_start"),
-        F.col("valid_start").alias("train_end"),
-        "valid_start",
-        F.least(F.add_months("valid_start", 1), F.lit(end).cast("date")).alias("valid_end"),
-    ).filter("train_start < train_end")
-    from pyspark.sql import Window
+    def later(day: date, n: int) -> date:
+        place = day.year * 12 + day.month - 1 + n
+        return date(place // 12, place % 12 + 1, 1)
 
-    return spans.withColumn("fold_idx", F.row_number().over(Window.orderBy("valid_start")) - 1)
+    start, stop, earliest = (date.fromisoformat(t) for t in (first, end, train_start))
+    spans = []
+    while start < stop:
+        train = earliest if months is None else max(earliest, later(start, -months))
+        if train < start:
+            spans.append((f"f{len(spans)}", str(train), str(start), str(min(later(start, 1), stop))))
+        start = later(start, 1)
+    return spans
 
 
 def mark_folds(df: DataFrame, spans: list[tuple[str, str, str, str]]) -> DataFrame:
@@ -95,8 +96,6 @@ def dated_weight(label: Column, time: Column, border: str, recent: str) -> Colum
 
 def time_decay(df: DataFrame, time: str = "sec") -> Column:
     """Linear factor from 0.85 on the first to 1.25 on the last moment of the table."""
-    from backtrail.operators.joins import only_row
-
     ends = only_row(df.agg(F.min(time).alias("low"), F.max(time).alias("high")))
     days = F.greatest((ends["high"] - ends["low"]) / 86400.0, F.lit(1.0))
     share = (F.col(time) - ends["low"]) / 86400.0 / days
@@ -105,8 +104,6 @@ def time_decay(df: DataFrame, time: str = "sec") -> Column:
 
 def importance_weights(df: DataFrame, kind: str, border: str, recent: int = 6, old: int = 20) -> DataFrame:
     """Class x inverse sampling rate x decay, scaled to mean 1; kind is main, labelled or suspicious."""
-    from backtrail.operators.joins import only_row
-
     label = F.col("train_target_raw")
     late = F.col("event_ts") >= F.lit(border).cast("timestamp")
     inverse = F.when(label == -1, F.when(late, float(recent)).otherwise(float(old))).otherwise(1.0)
@@ -147,8 +144,6 @@ def head_rows(df: DataFrame, head: str, recent: str) -> DataFrame:
 
 def vocabulary(fit: DataFrame, column: str, first: int = 2) -> DataFrame:
     """Codes of the known values in ascending order, from `first` on."""
-    from backtrail.operators.history import History, Past
-
     values = fit.filter(F.col(column).isNotNull()).select(column).distinct()
     ranked = History.of(values, [], [column]).past(_at=Past.count()).frame()
     return ranked.select(column, (F.col("_at") + first).alias(f"{column}_code"))
@@ -176,3 +171,15 @@ def unknown_rates(encoded: DataFrame, columns: list[str], unknown: int = 1, one_
     ).select(F.inline(F.array(*columns)))
     cardinality = F.col("known_values") + 1
     return report.withColumn("mode", F.when(cardinality <= one_hot_up_to, "one_hot").otherwise("embedding"))
+
+
+def standardise(fit: DataFrame, others: list[DataFrame], columns: list[str]) -> list[DataFrame]:
+    """(x - mean) / population deviation of the fit rows, for every table; constant columns become 0."""
+    stats = only_row(
+        fit.agg(*[F.avg(c).alias(f"{c}_mean") for c in columns], *[F.stddev_pop(c).alias(f"{c}_std") for c in columns])
+    )
+    scaled = {
+        c: (F.col(c) - stats[f"{c}_mean"]) / F.when(stats[f"{c}_std"] > 0, stats[f"{c}_std"]).otherwise(1.0)
+        for c in columns
+    }
+    return [df.withColumns(scaled) for df in (fit, *others)]

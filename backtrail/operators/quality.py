@@ -209,3 +209,17 @@ def completeness(scores: DataFrame, template: DataFrame) -> DataFrame:
         tally(F.col("n") > 1).alias("duplicated"),
         tally(F.col("wanted").isNull()).alias("unknown"),
     )
+
+
+def dataset_overview(df: DataFrame, dataset: str, telemetry: str) -> DataFrame:
+    """Rows, labels by colour and share of rows with telemetry and with a session, per dataset."""
+    tally = lambda condition: F.count(F.when(condition, 1))
+    target = F.col("target")
+    return df.groupBy(dataset).agg(
+        F.count("*").alias("n"),
+        tally(target == 1).alias("red"),
+        tally(target == 0).alias("yellow"),
+        tally(target.isNull() & (F.col(dataset) == "train")).alias("green"),
+        F.avg(F.col(telemetry).cast("double")).alias("telemetry_rate"),
+        F.avg(F.col("session_id").isNotNull().cast("double")).alias("session_present_rate"),
+    )

@@ -145,8 +145,12 @@ def _gate(a, b):
     return f"sqrt(least(greatest({a}, 1e-6), 1.0) * least(greatest({b}, 1e-6), 1.0))"
 
 
-@query("gate_heads", "M16", sql=f"WITH {_SC}, k AS (SELECT event_id, " + ", ".join(f"{_rank(n)} AS {n}" for n in HEADS) + f"), kk AS (SELECT *, {_gate('p_a', 'p_b')} AS consensus FROM k) ".replace("FROM k)", "FROM k)") .replace("), kk", " FROM sc), kk")
-       + f"SELECT event_id, round(consensus, 9) AS consensus, round({_gate('consensus', 'p_c')}, 9) AS susp_gate, round({_gate('consensus', 'p_d')}, 9) AS lbl_gate, round({_gate('consensus', _gate('p_c', 'p_d'))}, 9) AS dual_gate FROM kk")
+_RANKED = "k AS (SELECT event_id, " + ", ".join(f"{_rank(n)} AS {n}" for n in HEADS) + " FROM sc)"
+
+
+@query("gate_heads", "M16", sql=f"""WITH {_SC}, {_RANKED}, kk AS (SELECT *, {_gate('p_a', 'p_b')} AS consensus FROM k)
+    SELECT event_id, round(consensus, 9) AS consensus, round({_gate('consensus', 'p_c')}, 9) AS susp_gate,
+      round({_gate('consensus', 'p_d')}, 9) AS lbl_gate, round({_gate('consensus', _gate('p_c', 'p_d'))}, 9) AS dual_gate FROM kk""")
 def _gates(spark, folder):
     rows = s.rank_normalised(scored(spark, folder), list(HEADS)).withColumn("consensus", m.geometric_gate("p_a_rank", "p_b_rank"))
     rows = rows.withColumns({
