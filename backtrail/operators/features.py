@@ -365,9 +365,7 @@ def as_of_velocity(h: History, windows: dict[str, int]) -> History:
     Unlike `velocity`, an event exactly w ago is left out and earlier rows of the same second count.
     The rows at or before `t - w` are those before `t` less those in the window [t - w + 1s, t).
     """
-    h = h.past(__n=Past.count(), __sum=Past.sum("cents"), )
-    same = {"__same_n": Past.count("sec"), "__same_sum": Past.sum("cents", "sec")}
-    h = h.past(**same)
+    h = h.past(__same_n=Past.count("sec"), __same_sum=Past.sum("cents", "sec"))
     h = h.within(
         **{f"__n_{n}": Within.count(s - 1) for n, s in windows.items()},
         **{f"__s_{n}": Within.sum("cents", s - 1) for n, s in windows.items()},
@@ -421,18 +419,13 @@ def distinct_within(df: DataFrame, value: str, windows: dict[str, int], entity:
     # sightings in falling time order, so that the row before is the next sighting
     h = History.of(seen.withColumn("__back", -F.col("sec")), [entity, value], ["__back"])
     h = h.past(__next=Past.previous("sec"))
-    spans = h.frame()
-    edges = [spans.select(entity, F.col("sec").alias("__at"), *[F.lit(1).alias(n) for n in windows])]
-    for name, width in windows.items():
-        end = F.least(F.col("sec") + width, F.coalesce("__next", F.lit(2**62)))
-        edges.append(
-            spans.select(
-                entity, end.alias("__at"), *[F.lit(-1 if n == name else 0).alias(n) for n in windows]
-            )
-        )
-    deltas = edges[0]
-    for edge in edges[1:]:
-        deltas = deltas.unionByName(edge)
+    def edge(at, **delta):
+        return F.struct(at.alias("__at"), *[F.lit(delta.get(n, 0)).alias(n) for n in windows])
+
+    soonest = F.coalesce("__next", F.lit(2**62))
+    edges = [edge(F.col("sec"), **{n: 1 for n in windows})]
+    edges += [edge(F.least(F.col("sec") + width, soonest), **{n: -1}) for n, width in windows.items()]
+    deltas = h.frame().select(entity, F.inline(F.array(*edges)))
     steps = deltas.groupBy(entity, "__at").agg(*[F.sum(n).alias(n) for n in windows])
     at_row = df.select(entity, F.col("sec").alias("__at")).distinct()
     clock = steps.join(at_row.withColumn("__row", F.lit(True)), [entity, "__at"], "full").fillna(0, list(windows))

@@ -6,12 +6,16 @@ found by counting, are range-partitioned by their order into blocks of bounded s
 checkpointed so that a row never changes its block. A feature of a heavy entity is the window result
 inside the block combined with the running result over all earlier blocks, which has one row per
 block. Both ways give the same values.
+
+Each step on heavy rows reads them several times and joins the results, so a chain of steps would
+repeat all earlier ones in its plan. The rows are therefore checkpointed again before such a step
+when they already carry the result of another.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -95,7 +99,7 @@ class History:
     heavy: DataFrame | None
     entity: tuple[str, ...]
     order: tuple[str, ...]
-    made: tuple[str, ...] = field(default=())
+    flat: bool = True
 
     @staticmethod
     def of(df: DataFrame, entity: list[str] | str, order: list[str], rows_per_task: int | None = None) -> History:
@@ -140,14 +144,18 @@ class History:
     def past(self, **features: Past) -> History:
         """Add one column per feature."""
         light = None if self.light is None else self._past_light(self.light, features)
-        heavy = self.heavy
+        heavy = self._flattened()
         if heavy is not None:
+            base = heavy
             groups: dict[tuple[str, ...], dict[str, Past]] = {}
             for name, feature in features.items():
                 groups.setdefault(feature.by, {})[name] = feature
             for by, group in groups.items():
-                heavy = self._past_heavy(heavy, by, group)
-        return replace(self, light=light, heavy=heavy)
+                heavy = self._past_heavy(heavy, base, by, group)
+        return replace(self, light=light, heavy=heavy, flat=heavy is None)
+
+    def _flattened(self) -> DataFrame | None:
+        return self.heavy if self.heavy is None or self.flat else self.heavy.checkpoint()
 
     def _past_light(self, df: DataFrame, features: dict[str, Past]) -> DataFrame:
         return df.withColumns(
@@ -157,11 +165,12 @@ class History:
             }
         )
 
-    def _past_heavy(self, df: DataFrame, by: tuple[str, ...], group: dict[str, Past]) -> DataFrame:
+    def _past_heavy(self, df: DataFrame, base: DataFrame, by: tuple[str, ...], group: dict[str, Past]) -> DataFrame:
+        """Add one group of features to `df`; the sums over blocks are taken from the `base` rows."""
         keys = [*self.entity, *by]
         inside = Window.partitionBy(*keys, BLOCK).orderBy(*self.order)
         local = df.withColumns({f"_in_{n}": _local(p, inside, self.order) for n, p in group.items()})
-        blocks = df.groupBy(*keys, BLOCK).agg(*[_whole(p, self.order).alias(n) for n, p in group.items()])
+        blocks = base.groupBy(*keys, BLOCK).agg(*[_whole(p, self.order).alias(n) for n, p in group.items()])
         earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
         carried = blocks.select(
             *[F.col(k).alias(f"_k_{k}") for k in keys],
@@ -184,8 +193,10 @@ class History:
     def within(self, **features: Within) -> History:
         """Add one column per time-window feature; time is the first order column, in seconds."""
         light = None if self.light is None else self._within_light(self.light, features)
-        heavy = None if self.heavy is None else self._within_heavy(self.heavy, features)
-        return replace(self, light=light, heavy=heavy)
+        heavy = self._flattened()
+        if heavy is not None:
+            heavy = self._within_heavy(heavy, features)
+        return replace(self, light=light, heavy=heavy, flat=heavy is None)
 
     def _within_light(self, df: DataFrame, features: dict[str, Within]) -> DataFrame:
         time = Window.partitionBy(*self.entity).orderBy(self.order[0])
@@ -273,7 +284,7 @@ class History:
                 .filter(F.col("_chunk") == F.col("_home"))
                 .drop("_rn", "_home", "_chunk")
             )
-        return replace(self, light=light, heavy=heavy)
+        return replace(self, light=light, heavy=heavy, flat=heavy is None)
 
 
 def _cut(df: DataFrame, entity: tuple[str, ...], order: list[str], rows: int, limit: int) -> DataFrame:

@@ -135,12 +135,11 @@ def running_priors(events: DataFrame, order: list[str], keys: tuple[str, ...] =
     Few key values hold all rows, so the rows are one global history in time order: beyond one
     task's rows it is cut into time blocks that all keys share.
     """
-    h = History.of(events, [], order)
-    for key in keys:
-        h = h.past(_red=Past.sum("is_red_lbl", key), _lab=Past.sum("is_labeled_fb", key))
-        rate = (F.col("_red") + 0.25) / (F.col("_lab") + 2.0)
-        h = h.with_columns({f"prior_{key}_red_rate": rate}).each(lambda df: df.drop("_red", "_lab"))
-    return h.frame()
+    red = {f"_red_{key}": Past.sum("is_red_lbl", key) for key in keys}
+    labelled = {f"_lab_{key}": Past.sum("is_labeled_fb", key) for key in keys}
+    rows = History.of(events, [], order).past(**red, **labelled).frame()
+    rates = {f"prior_{key}_red_rate": (F.col(f"_red_{key}") + 0.25) / (F.col(f"_lab_{key}") + 2.0) for key in keys}
+    return rows.withColumns(rates).drop(*red, *labelled)
 
 
 def novelty_risks(df: DataFrame) -> DataFrame:

@@ -26,18 +26,18 @@ OUTSIDE_SHARES = (0.55, 0.65, 0.75, 0.85, 0.90, 0.95)
 
 def rank_normalised(df: DataFrame, scores: list[str], suffix: str = "_rank", extra: int = 1, by: list[str] | None = None) -> DataFrame:
     """Average rank of each score divided by n + extra (extra 0 for the plain share)."""
-    keys = by or []
+    keys, rows = by or [], df
     for score in scores:
-        counts = df.groupBy(*keys, score).agg(F.count("*").alias("_n"))
+        counts = rows.groupBy(*keys, score).agg(F.count("*").alias("_n"))
         running = History.of(counts, keys, [score]).past(_below=Past.sum("_n")).frame()
         rank = F.col("_below") + (F.col("_n") + 1) / 2.0
         ranks = running.select(*keys, score, rank.alias(f"{score}{suffix}"))
         df = lookup(df, ranks, [*keys, score])
     if keys:
-        df = lookup(df, df.groupBy(*keys).agg(F.count("*").alias("_total")), keys)
+        df = lookup(df, rows.groupBy(*keys).agg(F.count("*").alias("_total")), keys)
         total = F.col("_total")
     else:
-        total = only_row(df.agg(F.count("*").alias("total")))["total"]
+        total = only_row(rows.agg(F.count("*").alias("total")))["total"]
     named = {f"{s}{suffix}": F.col(f"{s}{suffix}") / (total + extra) for s in scores}
     return df.withColumns(named).drop("_total")
 
