@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from backtrail.functions import measures as m
 from backtrail.operators.history import History, Past, Within
-from backtrail.operators.lookups import lookup
+from backtrail.operators.lookups import lookup, spread_join
 
 DAY = 86400
 # Output suffix -> column that must be equal on the earlier row.
@@ -257,7 +257,7 @@ def session_position(h: History) -> History:
 def minutes_in_session(df: DataFrame) -> DataFrame:
     """Whole minutes since the first event of the session, whoever's it is; -1 without a session."""
     starts = df.groupBy("session_id").agg(F.min("sec").alias("__start"))
-    joined = lookup(df, starts, "session_id")
+    joined = spread_join(df, starts, ["session_id"])
     minutes = F.floor((F.col("sec") - F.col("__start")) / 60).cast("double")
     return joined.withColumn(
         "minutes_from_session_start", F.when(F.col("session_id") != -1, minutes).otherwise(-1.0)
@@ -433,7 +433,7 @@ def distinct_within(df: DataFrame, value: str, windows: dict[str, int], entity:
     result = counted.filter("__row").select(
         entity, F.col("__at").alias("sec"), *[F.col(f"__c_{n}").alias(n) for n in windows]
     )
-    return lookup(df, result, [entity, "sec"])
+    return spread_join(df, result, [entity, "sec"])
 
 
 def interactions(df: DataFrame) -> DataFrame:

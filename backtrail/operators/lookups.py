@@ -42,12 +42,16 @@ def fits_broadcast(df: DataFrame) -> bool:
 
 
 def lookup(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
-    """Join `right`, which has one row per key, to `left` (how: left, inner, left_semi, left_anti)."""
+    """Join `right`, which has one row per key, to `left` (how: left, inner, left_semi, left_anti).
+
+    The right side is kept between its count and the join, so it is computed once; when it turns out
+    large it is let go. Call `spread_join` directly where the right side grows with the events.
+    """
     keys = [on] if isinstance(on, str) else list(on)
     right = right.persist()
     if fits_broadcast(right):
         return left.join(F.broadcast(right), keys, how)
-    return spread_join(left, right, keys, how)
+    return spread_join(left, right.unpersist(), keys, how)
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

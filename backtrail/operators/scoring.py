@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from backtrail.functions import measures as m
 from backtrail.operators.history import History, Past
 from backtrail.operators.joins import only_row
-from backtrail.operators.lookups import lookup
+from backtrail.operators.lookups import lookup, spread_join
 
 # Shares of the outside score tried by the strategy grid.
 OUTSIDE_SHARES = (0.55, 0.65, 0.75, 0.85, 0.90, 0.95)
@@ -32,7 +32,7 @@ def rank_normalised(df: DataFrame, scores: list[str], suffix: str = "_rank", ext
         running = History.of(counts, keys, [score]).past(_below=Past.sum("_n")).frame()
         rank = F.col("_below") + (F.col("_n") + 1) / 2.0
         ranks = running.select(*keys, score, rank.alias(f"{score}{suffix}"))
-        df = lookup(df, ranks, [*keys, score])
+        df = spread_join(df, ranks, [*keys, score])
     if keys:
         df = lookup(df, rows.groupBy(*keys).agg(F.count("*").alias("_total")), keys)
         total = F.col("_total")
