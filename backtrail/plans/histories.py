@@ -32,10 +32,13 @@ def seen(name, by=None):
 def _flagship(spark, folder):
     day = 86400
     h = customer_times(events(spark, folder))
-    h = h.past(cust_prev_events=Past.count(), past_cents=Past.sum("cents"), cnt_prev_same_desc=Past.count("event_desc"))
-    h = x.event_gap(h).within(
+    # the windows in time order come first, so that they share one sort
+    h = h.past(cust_prev_events=Past.count(), past_cents=Past.sum("cents"), _before=Past.previous("sec"))
+    h = h.within(
         cnt_24h=Within.count(day), cents_24h=Within.sum(F.abs("cents"), day), max_cents_24h=Within.max("cents", day)
     )
+    h = h.past(cnt_prev_same_desc=Past.count("event_desc"))
+    h = h.with_columns({"sec_since_prev_event": F.coalesce(F.col("sec") - F.col("_before"), F.lit(-1))})
     return h.frame().filter("period = 'test'").select(
         "event_id", "customer_id", "cust_prev_events", "cnt_prev_same_desc", "past_cents", "sec_since_prev_event",
         "cnt_24h", "cents_24h", "max_cents_24h", "period",
