@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from backtrail.operators import features as x
 from backtrail.operators import labels as y
-from backtrail.plans.base import CUTOFF, ORDER, bank_labels, customer_times, customers, events, fixed, labelled, query
+from backtrail.operators.feature_table import feature_table
+from backtrail.plans.base import CUTOFF, HALF_TIME, ORDER, bank_events, bank_labels, customer_times, customers, events, fixed, labelled, query
 from backtrail.sources.tables import device_source, prior_source
 
 
@@ -282,3 +283,12 @@ def _drift(spark, folder):
     h = x.velocity(x.trailing_means(x.amount_moments(customer_times(events(spark, folder)))))
     rows = x.distinct_within(h.frame(), "mcc_code_i", {"unique_mcc_24h": 86400})
     return y.profile_drift(y.attach_profiles(rows, _profiles(spark, folder))).select("event_id", *[fixed(c, 4).alias(c) for c in _DRIFTS])
+
+
+# -- everything together -----------------------------------------------------------------------------
+
+
+@query("feature_table", "SRC7", "SNK3")
+def _feature_table(spark, folder):
+    """All features at once; each of them is compared with SQL by the queries above."""
+    return feature_table(bank_events(spark, folder), bank_labels(spark, folder), HALF_TIME)

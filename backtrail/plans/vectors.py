@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from backtrail.functions import measures as m
 from backtrail.operators import sequences as sq
+from backtrail.operators.joins import only_row
 from backtrail.plans.base import ORDER, bank_events, bank_labels, clocked, customers, events, fixed, labelled, query
 from backtrail.settings import ensure_checkpoint_folder
 from backtrail.sources import sinks, tables
@@ -143,11 +144,12 @@ def _pool_future(spark, folder):
     return h.frame().select("event_id", *_pool_columns("future", sq.FUTURE_SIZES))
 
 
-@query("pooled_past_vectors", "W38", sql="""WITH v AS (SELECT event_id, customer_id, sec, embedding FROM ev JOIN embeddings ON vec_id = event_id % 500)
+@query("pooled_past_vectors", "W38", sql="""WITH v AS (SELECT event_id, customer_id, sec, embedding FROM ev JOIN embeddings ON vec_id = event_id % (SELECT count(*) FROM embeddings))
     SELECT event_id, """ + ", ".join(f"round(avg(CAST(embedding[{i + 1}] AS DOUBLE)) OVER ({{c}} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 5) AS mean_{n}_{i}" for n in (3, 10) for i in range(64)) + " FROM v")
 def _pool_vectors(spark, folder):
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
-    rows = events(spark, folder).select("event_id", "customer_id", "sec", (F.col("event_id") % 500).alias("vec_id")).join(vectors, "vec_id")
+    n = only_row(vectors.agg(F.count("*").alias("n")))["n"]
+    rows = events(spark, folder).select("event_id", "customer_id", "sec", (F.col("event_id") % n).alias("vec_id")).join(vectors, "vec_id")
     h = sq.pool_vectors(customers(rows), "embedding", 64)
     return h.frame().select("event_id", *[fixed(F.col(f"embedding_{n}")[i], 5).alias(f"mean_{n}_{i}") for n in (3, 10) for i in range(64)])
 

@@ -127,3 +127,20 @@ def test_boosted_head_beats_the_positive_rate(spark):
 
     row = queries()["head_quality"](spark, FOLDER.replace("0.001", "0.01")).first()
     assert row["ap"] > row["positive_rate"]
+
+
+def test_feature_table_has_the_sampled_rows_and_all_columns(spark):
+    from conftest import FOLDER
+
+    from __spark_entry__ import queries
+    from backtrail.operators.feature_table import FEATURE_COLUMNS, META_COLUMNS
+
+    table = queries()["feature_table"](spark, FOLDER)
+    assert table.columns == [*META_COLUMNS, *FEATURE_COLUMNS] and len(FEATURE_COLUMNS) == 119
+    rows = {r["event_id"]: r for r in table.collect()}
+    assert set(rows) == {r["event_id"] for r in queries()["sampled_rows"](spark, FOLDER).collect()}
+    for name, column in (("gap_since_same_value", "sec_since_prev_same_desc"), ("label_history_counts", "cust_prev_red_lbl_cnt"),
+                         ("signed_velocity_windows", "amt_sum_last_24h"), ("past_amount_moments", "cust_prev_amt_mean")):
+        for r in queries()[name](spark, FOLDER).collect():
+            if r["event_id"] in rows:
+                assert rows[r["event_id"]][column] == pytest.approx(r[column], abs=1e-5)
