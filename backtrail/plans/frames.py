@@ -272,7 +272,7 @@ def _fixed(spark, folder):
     return fd.mark_folds(events(spark, folder).filter("period = 'train'"), _FIXED).select("event_id", "fold", "part")
 
 
-@query("row_weights", "M6", sql=f"""SELECT event_id, CASE train_target_raw WHEN 1 THEN 10.0 WHEN 0 THEN 2.5 ELSE 1.0 END AS weight,
+@query("row_weights", "M6", sql=f"""SELECT event_id, CAST(CASE train_target_raw WHEN 1 THEN 10.0 WHEN 0 THEN 2.5 ELSE 1.0 END AS DOUBLE) AS weight,
     round(CASE WHEN train_target_raw = -1 THEN CASE WHEN event_ts >= TIMESTAMP '{HALF_TIME}' THEN 1.8 ELSE 3.0 END WHEN train_target_raw = 1 THEN 10.0 ELSE 2.5 END
       * CASE WHEN event_ts >= TIMESTAMP '2024-01-14' THEN 1.15 ELSE 1.0 END, 6) AS dated_weight FROM lv WHERE period = 'train'""")
 def _weights(spark, folder):
