@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.llm import simhash
+from backtrail.llm import packing, secrets, simhash
 from backtrail.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,24 @@ def query(name: str, sql: str | None = None):
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, folder, "documents"))
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
+@query("op2_secret_scans", secrets.sql())
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(read(spark, folder, "documents"))
+    ranks = F.transform("base", lambda s: s["rank"])
+    counts = [
+        (F.size("base") - F.size(F.array_remove(ranks, rank))).cast("bigint").alias(f"n_{kind}")
+        for rank, kind in enumerate(secrets.KINDS[:3])
+    ]
+    live = F.size(F.filter("spans", lambda s: s["live"])).cast("bigint")
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.written("base"), 256).alias("base_sha256"), secrets.written("spans").alias("spans"), live.alias("n_live")
+    )
+
+
+@query("op10_best_fit_packing")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.tokenised(read(spark, folder, "documents"))
+    digest = pieces.select("uid", "doc_id", "piece", "start", "length", packing.ids_crc32("ids").alias("ids_crc32"))
+    return digest.join(packing.layout(pieces.select("uid", "length")), "uid").drop("uid")
