@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.llm import packing, secrets, simhash
+from backtrail.llm import packing, rules, secrets, simhash
 from backtrail.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.tokenised(read(spark, folder, "documents"))
     digest = pieces.select("uid", "doc_id", "piece", "start", "length", packing.ids_crc32("ids").alias("ids_crc32"))
     return digest.join(packing.layout(pieces.select("uid", "length")), "uid").drop("uid")
+
+
+@query("op6_quality_rules")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = rules.rules(read(spark, folder, "documents"))
+    return found.select("doc_id", *rules.COUNTS, "base_failed", "kept", "removed_lines", "removed_words")
