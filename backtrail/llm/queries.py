@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.llm import packing, rules, secrets, simhash
-from backtrail.llm.common import read
+from backtrail.llm import language, packing, quality, rules, secrets, simhash
+from backtrail.llm.common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,3 +55,18 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     found = rules.rules(read(spark, folder, "documents"))
     return found.select("doc_id", *rules.COUNTS, "base_failed", "kept", "removed_lines", "removed_words")
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = fold("doc_id", 3) == 1
+    model = language.fit(docs.filter(~held_out))
+    return language.identify(docs, model).withColumn("held_out", held_out)
+
+
+@query("op9_quality_classifier")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = fold("doc_id", 4) == 2
+    found = quality.score(read(spark, folder, "documents"), read(spark, folder, "labels"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
