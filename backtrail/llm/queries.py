@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.llm import language, packing, quality, rules, secrets, simhash
+from backtrail.llm import language, packing, quality, rules, secrets, simhash, toxicity
 from backtrail.llm.common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,13 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     held_out = fold("doc_id", 4) == 2
     found = quality.score(read(spark, folder, "documents"), read(spark, folder, "labels"), ~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held_out = read(spark, folder, "documents"), fold("doc_id", 4) == 2
+    found = toxicity.score(docs, toxicity.fit(docs, read(spark, folder, "labels"), ~held_out))
+    neighbours = F.concat_ws(",", F.transform("evidence", lambda e: e["example"].cast("string")))
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), neighbours.alias("neighbours")
+    )
