@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.llm import language, packing, quality, rules, secrets, simhash, toxicity
+from backtrail.llm import embeddings, language, packing, quality, rules, secrets, simhash, toxicity
 from backtrail.llm.common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), neighbours.alias("neighbours")
     )
+
+
+@query("op1_embedding_near_duplicates", embeddings.SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, folder, "embeddings"))
