@@ -8,8 +8,10 @@ there is no task that holds all pieces, and at most one sequence per share is lo
 from __future__ import annotations
 
 import itertools
+import struct
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -23,8 +25,9 @@ from backtrail.llm.common import cut
 CAPACITY = 4096
 END = 1  # the id after each document
 SHARE = 1 << 21  # tokens that are packed together
-NODES = 400  # fillings tried for a share after the first solution
-MEMO = 300_000  # words whose ids a Python worker remembers at once
+NODES = 2000  # pieces tried in further fillings of a share after the first solution
+MEMO = 700_000  # words of letters whose ids a Python worker remembers at once
+SPELLINGS = 500_000  # the same for words as they are written, with capitals and marks
 
 
 # -- bin completion -------------------------------------------------------------------------------------
@@ -97,8 +100,8 @@ def best_filling(stock: Stock, room: int) -> list[int]:
     return chosen
 
 
-def fillings(stock: Stock, room: int) -> Iterator[list[int]]:
-    """The best filling first, then the other undominated ones.
+def fillings(stock: Stock, room: int, budget: list[int]) -> Iterator[list[int]]:
+    """The best filling first, then the other undominated ones, until the budget of pieces to try is used up.
 
     A filling is dominated if a piece that is left fits beside it, or in place of a smaller one.
     """
@@ -113,6 +116,9 @@ def fillings(stock: Stock, room: int) -> Iterator[list[int]]:
             s = sizes[i]
             if s <= left and stock.counts[s]:
                 fits = True
+                budget[0] -= 1
+                if budget[0] < 0:
+                    return
                 stock.counts[s] -= 1
                 yield from extend(i, left - s, [*chosen, s])
                 stock.counts[s] += 1
@@ -150,8 +156,8 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY, nodes: int | None
 
     Bin completion: the largest piece left opens a bin, which branches over the undominated fillings
     around it. The best-fit solution is the incumbent; a branch is left as soon as its waste shows
-    that it can't beat the incumbent. The search ends at the lower bound, or after `nodes` branches
-    beyond the first dive, and then gives the incumbent.
+    that it can't beat the incumbent. The search ends at the lower bound, or when it has tried `nodes`
+    pieces in further fillings, and then gives the incumbent.
     """
     if not len(lengths):
         return []
@@ -163,7 +169,7 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY, nodes: int | None
         return best
     stock = Stock(np.asarray(lengths), capacity)
     path: list[tuple[list[int], int, Iterator[list[int]]]] = []  # (bin, waste so far, further fillings)
-    bins, waste, tried = [], 0, 0
+    bins, waste, budget = [], 0, [nodes]
     fresh = True
     while True:
         if fresh:
@@ -176,15 +182,14 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY, nodes: int | None
                 fresh = False
                 continue
             stock.take([top])
-            path.append(([top], waste, fillings(stock, capacity - top)))
+            path.append(([top], waste, fillings(stock, capacity - top, budget)))
         if not path:
             return best
         head, before, more = path[-1]
         if len(bins) == len(path):  # come back to this bin: undo its filling
             stock.give(bins.pop()[1:])
         filling = next(more, None)
-        tried += not fresh
-        if tried > nodes:
+        if budget[0] < 0:
             return best
         if filling is None:
             path.pop()
@@ -222,26 +227,71 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
 # -- on Spark ---------------------------------------------------------------------------------------------
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable character by which byte-level vocabularies write each byte, by byte as Latin-1 code."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def little(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+LETTERS = byte_letters()
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+
+
 class Words(dict):
-    """Ids of a piece of text without white space, as little-endian 32-bit bytes; asks the tokenizer once."""
+    """Ids of a piece of text without white space, as little-endian 32-bit bytes; remembers up to `SPELLINGS` of them.
+
+    A word of letters only goes to the model as it is, and marks that follow a word are a word of their
+    own, as the tokenizer splits them; everything else goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        if word.isalpha() and word.isascii() and word.islower():  # one word of the model, nothing to normalise
-            found = [t.id for t in self.tokenizer.model.tokenize(text)]
-        else:
-            found = self.tokenizer.encode(text, add_special_tokens=False).ids
-        if len(self) >= MEMO:
+        core = word.rstrip(MARKS)
+        out = self.known.get(core.lower()) if core else b""
+        if out is None:
+            out = self.letters(core)
+        if out is None:
+            out = self.asked(word)
+        elif len(core) < len(word):
+            marks = word[len(core) :]
+            out += self[marks] if core else self.asked(marks)
+        if len(self) >= SPELLINGS:
             self.clear()
-        self[word] = out = np.array(found, "<u4").tobytes()
+        self[word] = out
+        return out
+
+    def letters(self, core: bytes) -> bytes | None:
+        """Ids of a word of letters; None if it is something else, or its lower case or composed form is in doubt."""
+        low = core.lower()
+        if low.isalpha():
+            text = low.decode()
+        else:
+            text = core.decode()
+            if not text.isalpha() or "\u03a3" in text or not is_normalized("NFC", text):
+                return None
+            text = text.lower()
+            if not text.isalpha():
+                return None
+            text = text.encode().decode("latin-1").translate(LETTERS)
+        if len(self.known) >= MEMO:
+            self.known.clear()
+        self.known[low] = out = little([t.id for t in self.tokenizer.model.tokenize(text)])
         return out
 
+    def asked(self, word: bytes) -> bytes:
+        return little(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+
 
 WORDS: dict[str, Words] = {}
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.llm import embeddings, language, packing, quality, rules, secrets, simhash, toxicity
+from backtrail.llm import embeddings, language, packing, quality, rules, secret_scan, simhash, toxicity
 from backtrail.llm.common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,17 +30,17 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
 
 
-@query("op2_secret_scans", secrets.sql())
+@query("op2_secret_scans", secret_scan.sql())
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    found = secrets.scan(read(spark, folder, "documents"))
+    found = secret_scan.scan(read(spark, folder, "documents"))
     ranks = F.transform("base", lambda s: s["rank"])
     counts = [
         (F.size("base") - F.size(F.array_remove(ranks, rank))).cast("bigint").alias(f"n_{kind}")
-        for rank, kind in enumerate(secrets.KINDS[:3])
+        for rank, kind in enumerate(secret_scan.KINDS[:3])
     ]
     live = F.size(F.filter("spans", lambda s: s["live"])).cast("bigint")
     return found.select(
-        "doc_id", *counts, F.sha2(secrets.written("base"), 256).alias("base_sha256"), secrets.written("spans").alias("spans"), live.alias("n_live")
+        "doc_id", *counts, F.sha2(secret_scan.written("base"), 256).alias("base_sha256"), secret_scan.written("spans").alias("spans"), live.alias("n_live")
     )
 
 

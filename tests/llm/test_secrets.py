@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from backtrail.llm import secrets
+from backtrail.llm import secret_scan
 from backtrail.llm.common import read
 
 FOLDER = "/root/testdata/sf0.01"
@@ -25,7 +25,7 @@ def base(df):
 
 def test_spans_equal_plain_expressions(spark):
     docs = read(spark, FOLDER, "documents")
-    got = dict(base(secrets.scan(docs)))
+    got = dict(base(secret_scan.scan(docs)))
     want = {r.doc_id: plain_base(r.text) for r in docs.collect()}
     assert got == want and any(want.values())
 
@@ -40,26 +40,26 @@ CASES = [
 
 def test_corner_rows(spark):
     docs = spark.createDataFrame(CASES, "doc_id long, text string").withColumn("source", F.lit(None).cast("string")).withColumn("base", F.lit(1))
-    got = sorted(base(secrets.scan(docs)), key=str)
+    got = sorted(base(secret_scan.scan(docs)), key=str)
     assert got == sorted([(i, plain_base(t)) for i, t in CASES], key=str)
-    assert secrets.scan(docs.limit(0)).count() == 0
+    assert secret_scan.scan(docs.limit(0)).count() == 0
 
 
 def test_ownership_parts_copies_from_live_values(spark):
     generic = "QUJDREVGR0hJSktMTU5PUFFSUw1"
     rows = [(i, f"see {generic} and token=copied{i % 2}value", f"s{i}") for i in range(10)] + [(50, "one QWJDREVGR0hJSktMTU5PUFFSUw9", "s0")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    found = {r.doc_id: r for r in secrets.scan(docs, most_owners=5).collect()}
+    found = {r.doc_id: r for r in secret_scan.scan(docs, most_owners=5).collect()}
     assert [(s.rank, s.live, s.owners) for s in found[0].spans] == [(0, True, 5)]
     assert [s.rank for s in found[50].spans] == [3]
-    assert [s.rank for s in {r.doc_id: r for r in secrets.scan(docs, most_owners=10).collect()}[0].spans] == [3, 0]
-    assert [s.live for s in {r.doc_id: r for r in secrets.scan(docs, most_owners=4).collect()}[0].spans] == [False]
+    assert [s.rank for s in {r.doc_id: r for r in secret_scan.scan(docs, most_owners=10).collect()}[0].spans] == [3, 0]
+    assert [s.live for s in {r.doc_id: r for r in secret_scan.scan(docs, most_owners=4).collect()}[0].spans] == [False]
 
 
 def test_masked(spark):
     rows = [(1, f"é token={HEXES} end", "a", 0), (2, "clean text", "a", 10), (3, None, "b", None), (None, f"{HEXES} {HEXES}x", "b", 1), (1, f"é token={HEXES} end", "a", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
-    got = sorted([tuple(r) for r in secrets.masked(docs).collect()], key=str)
+    got = sorted([tuple(r) for r in secret_scan.masked(docs).collect()], key=str)
     want = [(1, "é [secret] end", "a", 14), (1, "é [secret] end", "a", 14), (2, "clean text", "a", 10), (3, None, "b", None), (None, "[secret] [secret]x", "b", 18)]
     assert got == sorted(want, key=str)
-    assert secrets.masked(docs).schema == docs.schema
+    assert secret_scan.masked(docs).schema == docs.schema
