@@ -25,7 +25,7 @@ from backtrail.llm.common import cut
 CAPACITY = 4096
 END = 1  # the id after each document
 SHARE = 1 << 21  # tokens that are packed together
-NODES = 2000  # pieces tried in further fillings of a share after the first solution
+NODES = 5000  # steps of the search in a share after the first dive
 MEMO = 700_000  # words of letters whose ids a Python worker remembers at once
 SPELLINGS = 500_000  # the same for words as they are written, with capitals and marks
 
@@ -38,6 +38,8 @@ class Stock:
 
     def __init__(self, lengths: np.ndarray, capacity: int):
         self.counts = np.bincount(lengths, minlength=capacity + 1)
+        self.steps = 0
+        self.limit: float = float("inf")
 
     def take(self, sizes: list[int]) -> None:
         for s in sizes:
@@ -54,6 +56,7 @@ class Stock:
 
     def pair(self, room: int) -> list[int]:
         """One or two lengths that fill the room best, larger ones first among equals."""
+        self.steps += 1
         sizes = np.flatnonzero(self.counts[: room + 1])
         sizes = sizes[sizes > 0]
         if not len(sizes):
@@ -85,7 +88,7 @@ def best_filling(stock: Stock, room: int) -> list[int]:
         found = stock.pair(room)
         if sum(found) < room:
             sizes = np.flatnonzero(stock.counts[: room + 1])[::-1]
-            for first in sizes[sizes > 0][:200].tolist():
+            for first in sizes[sizes > 0][:40].tolist():
                 stock.take([first])
                 tried = [first, *stock.pair(room - first)]
                 stock.give([first])
@@ -100,8 +103,8 @@ def best_filling(stock: Stock, room: int) -> list[int]:
     return chosen
 
 
-def fillings(stock: Stock, room: int, budget: list[int]) -> Iterator[list[int]]:
-    """The best filling first, then the other undominated ones, until the budget of pieces to try is used up.
+def fillings(stock: Stock, room: int) -> Iterator[list[int]]:
+    """The best filling first, then the other undominated ones, until the stock's limit of steps.
 
     A filling is dominated if a piece that is left fits beside it, or in place of a smaller one.
     """
@@ -116,8 +119,8 @@ def fillings(stock: Stock, room: int, budget: list[int]) -> Iterator[list[int]]:
             s = sizes[i]
             if s <= left and stock.counts[s]:
                 fits = True
-                budget[0] -= 1
-                if budget[0] < 0:
+                stock.steps += 1
+                if stock.steps > stock.limit:
                     return
                 stock.counts[s] -= 1
                 yield from extend(i, left - s, [*chosen, s])
@@ -156,8 +159,8 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY, nodes: int | None
 
     Bin completion: the largest piece left opens a bin, which branches over the undominated fillings
     around it. The best-fit solution is the incumbent; a branch is left as soon as its waste shows
-    that it can't beat the incumbent. The search ends at the lower bound, or when it has tried `nodes`
-    pieces in further fillings, and then gives the incumbent.
+    that it can't beat the incumbent. The search ends at the lower bound, or `nodes` steps after the
+    first dive, and then gives the incumbent.
     """
     if not len(lengths):
         return []
@@ -169,7 +172,7 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY, nodes: int | None
         return best
     stock = Stock(np.asarray(lengths), capacity)
     path: list[tuple[list[int], int, Iterator[list[int]]]] = []  # (bin, waste so far, further fillings)
-    bins, waste, budget = [], 0, [nodes]
+    bins, waste = [], 0
     fresh = True
     while True:
         if fresh:
@@ -182,14 +185,16 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY, nodes: int | None
                 fresh = False
                 continue
             stock.take([top])
-            path.append(([top], waste, fillings(stock, capacity - top, budget)))
+            path.append(([top], waste, fillings(stock, capacity - top)))
         if not path:
             return best
         head, before, more = path[-1]
         if len(bins) == len(path):  # come back to this bin: undo its filling
             stock.give(bins.pop()[1:])
         filling = next(more, None)
-        if budget[0] < 0:
+        if not fresh:
+            stock.limit = min(stock.limit, stock.steps + nodes)
+        if stock.steps > stock.limit:
             return best
         if filling is None:
             path.pop()
