@@ -1,16 +1,21 @@
 """Near-duplicates by SimHash fingerprints, found with pigeonhole blocks.
 
 `fingerprints` makes one 64-bit fingerprint per text. Two fingerprints link when they differ in at
-most two bits. Split into four blocks, such a pair agrees in at least two of them, so it shares one
-of six keys of two whole blocks. Fingerprints that share a key are compared; a key with more
+most n bits. Split into n + 2 blocks, such a pair agrees in at least two of them, so it shares one
+key of two whole blocks. Fingerprints that share a key are compared; a key with more
 than `BUCKET` fingerprints is not compared at once but split again: the bits that the key leaves open
-are cut into four blocks in their turn, and so on until at most eight bits are open, when a key
-holds at most 256 fingerprints. No pair is lost, and no task compares more than that many at once.
+are cut into n + 2 blocks in their turn, and so on until at most eight bits are open, when a key
+holds at most 256 fingerprints. No pair is lost.
+
+A second fingerprint of wider shingles can be asked to agree as well: the first one finds the pairs, the
+second one verifies them. Near copies whose wide shingles agree by 0.8 differ in up to a dozen bits there,
+too many for blocks, but in few bits of the fingerprint of their words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -49,28 +54,28 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """(key, fingerprint as long) for every row. Texts stay in the task that reads them."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, second: int | None = None) -> DataFrame:
+    """(key, fingerprint, second) as longs for every row; second is 0 unless its width is given. Texts stay in their task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint(x.as_py(), width) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], [key, "fingerprint"])
+            wide = [fingerprint(x.as_py(), second) for x in batch.column(1)] if second else [0] * len(prints)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), pa.array(wide, pa.int64())], [key, "fingerprint", "second"])
 
     kept = docs.select(key, text)
-    return kept.mapInArrow(run, f"`{key}` {kept.schema[key].dataType.simpleString()}, fingerprint bigint")
+    return kept.mapInArrow(run, f"`{key}` {kept.schema[key].dataType.simpleString()}, fingerprint bigint, second bigint")
 
 
 # -- pigeonhole blocks --------------------------------------------------------------------------------
 
 
-def _masks(open_bits: list[int]) -> list[tuple[int, list[int]]]:
-    """Ways to fix two of four blocks of the open bits: (the bits fixed, the bits still open)."""
-    size = len(open_bits) // 4
-    blocks = [open_bits[i * size : (i + 1) * size] for i in range(4)]
+def _masks(open_bits: list[int], bits: int) -> list[tuple[int, list[int]]]:
+    """Ways to fix two of bits + 2 blocks of the open bits: (the bits fixed, the bits still open)."""
+    blocks = [b.tolist() for b in np.array_split(open_bits, bits + 2)]
     return [
-        (sum(1 << b for b in blocks[i] + blocks[j]), [b for k in range(4) if k not in (i, j) for b in blocks[k]])
-        for i, j in combinations(range(4), 2)
+        (sum(1 << b for b in blocks[i] + blocks[j]), [b for k, block in enumerate(blocks) if k not in (i, j) for b in block])
+        for i, j in combinations(range(len(blocks)), 2)
     ]
 
 
@@ -80,32 +85,36 @@ def _signed(mask: int) -> int:
 
 def _keyed(rows: DataFrame, ways: dict[int, tuple[int, list[int]]]) -> DataFrame:
     """Each row once per way: `path` names the way, `key` holds the bits it fixes. Rows with a path take its sub-ways."""
+    below: dict[int, list[tuple[int, int]]] = {}
+    for path, (mask, _) in ways.items():
+        below.setdefault(path // 100, []).append((path, _signed(mask)))
+    rooted = rows if "path" in rows.columns else rows.withColumn("path", F.lit(1).cast("bigint"))
 
-    def all_of(paths):
-        masks = {p: F.lit(_signed(ways[p][0])) for p in paths}
-        return F.array(*[F.struct(F.lit(p).cast("bigint").alias("path"), F.col("fp").bitwiseAND(m).alias("key")) for p, m in masks.items()])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before = batch.column(3).to_numpy()
+            for path in np.unique(before).tolist():
+                some = batch.filter(pa.array(before == path))
+                fp = some.column(0).to_numpy()
+                for sub, mask in below[path]:
+                    named = pa.array(np.full(len(fp), sub, np.int64))
+                    yield pa.RecordBatch.from_arrays([*some.columns[:3], named, pa.array(fp & mask)], ["fp", "second", "id", "path", "key"])
 
-    if "path" not in rows.columns:
-        choice = all_of(ways)
-    else:
-        choice = F.lit(None)
-        for before in {p // 10 for p in ways}:
-            choice = F.when(F.col("path") == before, all_of([p for p in ways if p // 10 == before])).otherwise(choice)
-    return rows.select("fp", "id", F.explode(choice).alias("w")).select("fp", "id", "w.path", "w.key")
+    return rooted.select("fp", "second", "id", "path").mapInArrow(run, "fp bigint, second bigint, id bigint, path bigint, key bigint")
 
 
-def _linked(bits: int):
+def _linked(bits: int, second_bits: int):
     """Compare the rows of each key, which follow each other; gives links that connect what is linked."""
 
-    def links(path, key, fp, ids):
+    def links(path, key, fp, second, ids):
         a, b = [], []
         step = 1
         while step < len(fp):
             same = np.flatnonzero((key[step:] == key[:-step]) & (path[step:] == path[:-step]))
             if not len(same):
                 break
-            apart = np.bitwise_count((fp[same] ^ fp[same + step]).view(np.uint64))
-            hit = same[apart <= bits]
+            apart, wide = (np.bitwise_count((x[same] ^ x[same + step]).view(np.uint64)) for x in (fp, second))
+            hit = same[(apart <= bits) & (wide <= second_bits)]
             a.append(ids[hit])
             b.append(ids[hit + step])
             step += 1
@@ -114,7 +123,7 @@ def _linked(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None
         for batch in batches:
-            now = [batch.column(c).to_numpy() for c in ("path", "key", "fp", "id")]
+            now = [batch.column(c).to_numpy() for c in ("path", "key", "fp", "second", "id")]
             if left is not None:
                 now = [np.concatenate(x) for x in zip(left, now)]
             # the last key may go on in the next batch; a key holds few rows
@@ -130,14 +139,14 @@ def _linked(bits: int):
     return run
 
 
-def close_links(prints: DataFrame, bits: int = 2) -> DataFrame:
-    """Links (a, b) that connect all ids whose fingerprints differ in at most `bits` (0 to 2) bits.
+def close_links(prints: DataFrame, bits: int = 2, second_bits: int = 0) -> DataFrame:
+    """Links (a, b) that connect all ids whose fingerprints differ in at most `bits` bits, and second ones in at most `second_bits`.
 
-    prints: (fp long, id long), each fingerprint once, no nulls.
+    prints: (fp long, second long, id long), each pair of fingerprints once, no nulls. bits is 0 to 8.
     """
-    if not 0 <= bits <= 2:
-        raise ValueError("four blocks find pairs of at most two differing bits")
-    ways = {10 + i: w for i, w in enumerate(_masks(list(range(64))))}  # a sub-way's number goes on with one digit
+    if not 0 <= bits <= 8:
+        raise ValueError("blocks find pairs of at most eight differing bits")
+    ways = {100 + i: w for i, w in enumerate(_masks(list(range(64)), bits))}  # a sub-way's number goes on with two digits
     rows, cold = _keyed(prints, ways), []
     while True:
         if len(next(iter(ways.values()))[1]) <= 8:  # at most 256 fingerprints to a key
@@ -147,45 +156,47 @@ def close_links(prints: DataFrame, bits: int = 2) -> DataFrame:
         if hot.isEmpty():
             cold.append(rows)
             break
-        cold.append(rows.join(hot, ["path", "key"], "left_anti").select("fp", "id", "path", "key"))
-        ways = {10 * p + i: (m | n, o) for p, (m, still) in ways.items() for i, (n, o) in enumerate(_masks(still))}
+        cold.append(rows.join(hot, ["path", "key"], "left_anti").select("fp", "second", "id", "path", "key"))
+        reached = {r.path for r in hot.select("path").distinct().collect()}
+        ways = {100 * p + i: (m | n, o) for p, (m, still) in ways.items() if p in reached for i, (n, o) in enumerate(_masks(still, bits))}
         rows = cut(_keyed(rows.join(hot, ["path", "key"], "left_semi"), ways), "rekeyed")
-    every = cold[0]
-    for more in cold[1:]:
-        every = every.unionByName(more)
+    every = reduce(DataFrame.unionByName, cold)
     dealt = every.repartition("path", "key").sortWithinPartitions("path", "key")
-    return dealt.mapInArrow(_linked(bits), "a bigint, b bigint")
+    return dealt.mapInArrow(_linked(bits, second_bits), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, bits: int = 2) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, bits: int = 2, second: int | None = None, second_bits: int = 0,
+) -> DataFrame:
     """(key, fingerprint long, component_id) for every row of `docs`.
 
-    Fingerprints within `bits` bits link; component_id is the smallest key that links reach, the
-    row's own included. Equal texts meet in one fingerprint before anything is compared. Repeated rows
+    Fingerprints within `bits` bits link; with `second`, the width of wider shingles, only where those
+    fingerprints are within `second_bits` bits too. component_id is the smallest key
+    that links reach, the row's own included. Equal texts meet in one fingerprint before anything is compared. Repeated rows
     are returned as often as they come; a key that comes
     with several texts has the links of each of them. A row without a key
     is returned with its fingerprint and a null component_id, and links with nothing. Keys are
     whole numbers. Other columns are ignored; an empty table gives an empty result.
     """
-    rows = cut(fingerprints(docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text")), "_key", "_text", width), "prints")
+    rows = cut(fingerprints(docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text")), "_key", "_text", width, second), "prints")
     known = rows.filter(F.col("_key").isNotNull())
-    prints = cut(known.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("_key").alias("id")), "classes")
-    roots = components(close_links(prints, bits))
+    prints = cut(known.groupBy(F.col("fingerprint").alias("fp"), "second").agg(F.min("_key").alias("id")), "classes")
+    roots = components(close_links(prints, bits, second_bits))
     named = cut(
-        prints.join(roots, F.col("id") == F.col("node"), "left").select(F.col("fp").alias("fingerprint"), F.coalesce("root", "id").alias("component_id")),
+        prints.join(roots, F.col("id") == F.col("node"), "left").select(F.col("fp").alias("fingerprint"), "second", F.coalesce("root", "id").alias("component_id")),
         "named",
     )
-    found = known.join(named, "fingerprint").select(F.col("_key").alias(key), "fingerprint", "component_id")
+    found = known.join(named, ["fingerprint", "second"]).select(F.col("_key").alias(key), "fingerprint", "component_id")
     loose = rows.filter(F.col("_key").isNull()).select(F.col("_key").alias(key), "fingerprint", F.lit(None).cast("bigint").alias("component_id"))
     return found.union(loose)
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, bits: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """`docs` with one document of each group of near-duplicates: the one with the smallest key.
 
-    All columns are kept. Rows without a key stay. Of rows with the same key one stays.
+    how: as for `near_duplicates`. All columns are kept. Rows without a key stay. Of rows with the same key one stays.
     """
-    found = cut(near_duplicates(docs, key, text, width, bits), "grouped")
+    found = cut(near_duplicates(docs, key, text, **how), "grouped")
     gone = found.filter(F.col(key) != F.col("component_id")).select(key).distinct()
     kept = docs.join(gone, key, "left_anti").select(*docs.columns)
     repeated = found.groupBy(key).count().filter((F.col("count") > 1) & F.col(key).isNotNull()).select(key)

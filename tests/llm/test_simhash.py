@@ -29,12 +29,13 @@ def plain_fingerprint(text, width=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def plain_components(prints):
+def plain_components(prints, bits=2, close=None):
     """id -> smallest id reachable; prints: (id, unsigned fingerprint)."""
+    close = close or (lambda x, y: (x ^ y).bit_count() <= bits)
     links = defaultdict(set)
     for i, (a, x) in enumerate(prints):
         for b, y in prints[i + 1 :]:
-            if (x ^ y).bit_count() <= 2:
+            if close(x, y):
                 links[a].add(b)
                 links[b].add(a)
     found = {}
@@ -58,8 +59,8 @@ def test_equals_comparing_all(spark):
     assert len(set(want.values())) < len(want)
 
 
-@pytest.mark.parametrize("bucket", [256, 3])
-def test_blocks_find_every_close_pair(spark, monkeypatch, bucket):
+@pytest.mark.parametrize(("bucket", "bits"), [(256, 2), (3, 2), (3, 3)])
+def test_blocks_find_every_close_pair(spark, monkeypatch, bucket, bits):
     """Crowded fingerprints, also with keys that are split down to the last bits."""
     monkeypatch.setattr(simhash, "BUCKET", bucket)
     rng = np.random.default_rng(5)
@@ -70,9 +71,17 @@ def test_blocks_find_every_close_pair(spark, monkeypatch, bucket):
             prints.add(x ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 5), replace=False)))
     prints |= {0, 1, 3, 7, (1 << 64) - 1, (1 << 64) - 2}
     rows = list(enumerate(sorted(prints)))
-    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, i) for i, x in rows], "fp long, id long")
-    roots = {r.node: r.root for r in simhash.components(simhash.close_links(df)).collect()}
-    assert {i: roots.get(i, i) for i, _ in rows} == plain_components(rows)
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, 0, i) for i, x in rows], "fp long, second long, id long")
+    roots = {r.node: r.root for r in simhash.components(simhash.close_links(df, bits)).collect()}
+    assert {i: roots.get(i, i) for i, _ in rows} == plain_components(rows, bits)
+
+
+def test_second_fingerprint_verifies(spark):
+    docs = read(spark, "/root/testdata/sf0.01", "documents").filter("length(text) > 400")
+    rows = [(r.doc_id, plain_fingerprint(r.text, 1), plain_fingerprint(r.text, 5)) for r in docs.collect()]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, width=1, bits=3, second=5, second_bits=12).collect()}
+    close = lambda x, y: (x[0] ^ y[0]).bit_count() <= 3 and (x[1] ^ y[1]).bit_count() <= 12
+    assert got == plain_components([(i, (a, b)) for i, a, b in rows], close=close)
 
 
 def test_corner_rows(spark):
