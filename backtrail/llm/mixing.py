@@ -3,9 +3,8 @@
 Built-in column functions only. A classifier learnt from a labelled table gives each document a
 posterior over the domains (multinomial naive Bayes over hashed words, tempered by length). The rates
 r >= 0 minimise || W (sum of r t p - target) || over all documents, t being a document's tokens and p its
-posterior, by projected gradient steps from r = 1. A step needs the sums of one number per domain, and the rate
-of a document follows from its own posterior and the few numbers of each step, so nothing but
-those sums leaves the tasks.
+posterior, by projected gradient steps from r = 1. A step needs the sums of one number per domain, and moves the rate
+of a document by its own posterior and those few numbers, so nothing but the sums leaves the tasks.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from backtrail.llm.common import cut, hash_share, row_key
 
 PLACES = 1 << 16  # hashed words; also the bound of the model's rows
 NAMES = 64  # bound of the domains
+WRITTEN = 6  # steps after which the rates are written
 
 
 def words(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -63,33 +63,34 @@ def posteriors(docs: DataFrame, names: list[str], priors: list[float], chances:
     in the task that reads it. Log likelihoods are divided by the root of the words, so that long
     texts stay soft. A text without words has the priors.
     """
-    each = words(docs.select(F.col(doc_id).alias("doc_id"), *row_key(doc_id, text), F.col(text).alias("_body")), ["doc_id", "_id", "_text"], "_body")
+    each = words(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("_text"), F.col(text).alias("_body")), ["doc_id", "_text"], "_body")
     met = each.join(F.broadcast(chances), "place", "left")
     value = lambda i: F.sum(F.when(F.col("place").isNotNull(), F.coalesce(f"p{i}", F.lit(missing[i])))).alias(f"s{i}")
-    summed = met.groupBy("doc_id", "_id", "_text").agg(F.sum("first").alias("n_rows"), F.count("place").alias("n"), *[value(i) for i in range(len(names))])
+    summed = met.groupBy("doc_id", "_text").agg(F.sum("first").alias("n_rows"), F.count("place").alias("n"), *[value(i) for i in range(len(names))])
     root = F.sqrt(F.greatest(F.col("n"), F.lit(1)) * F.col("n_rows"))
     raw = [F.coalesce(F.col(f"s{i}"), F.lit(0.0)) / root + float(np.log(p)) for i, p in enumerate(priors)]
-    logged = summed.select("doc_id", "_id", "_text", "n_rows", (F.col("n") / F.col("n_rows")).alias("tokens"), *[c.alias(f"s{i}") for i, c in enumerate(raw)])
+    logged = summed.select("doc_id", row_key("doc_id", "doc_id")[0], "_text", "n_rows", (F.col("n") / F.col("n_rows")).alias("tokens"), *[c.alias(f"s{i}") for i, c in enumerate(raw)])
     top = F.greatest(*[F.col(f"s{i}") for i in range(len(names))]) if len(names) > 1 else F.col("s0")
     shares = logged.select("*", *[F.exp(F.col(f"s{i}") - top).alias(f"e{i}") for i in range(len(names))])
     whole = sum((F.col(f"e{i}") for i in range(1, len(names))), F.col("e0"))
     return shares.select("doc_id", "_id", "_text", "n_rows", "tokens", *[(F.col(f"e{i}") / whole).alias(f"p{i}") for i in range(len(names))])
 
 
-def _rate(steps: list[np.ndarray]) -> Column:
-    """The rate after some projected steps: r <- max(0, r - p . u)."""
-    rate = F.lit(1.0)
+def _rate(steps: list[np.ndarray], least: float) -> Column:
+    """The rate after some projected steps: r <- max(least, r - p . u)."""
+    rate = F.col("rate")
     for u in steps:
         move = sum((F.col(f"p{i}") * float(x) for i, x in enumerate(u)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
+        rate = F.greatest(F.lit(float(least)), rate - move)
     return rate
 
 
-def fit_rates(table: DataFrame, target: np.ndarray, most_steps: int = 60, close: float = 1e-6) -> list[np.ndarray]:
-    """The steps whose rates bring the sums of rate x tokens x posterior to `target`, as near as rates >= 0 can.
+def with_rates(table: DataFrame, target: np.ndarray, least: float = 0.0, most_steps: int = 60, close: float = 1e-6) -> DataFrame:
+    """`table` (n_rows, tokens, p0, p1, ...) with the rates that bring the sums of rate x tokens x posterior nearest to `target`.
 
-    Rates are measured in units that weigh a document by its tokens, residuals by the inverse of the posteriors' second
-    moments: then the largest curvature is 1, a full step is safe, and with no rate at 0 one is enough.
+    Projected gradient from rate 1, rates staying at least `least`. Rates are measured in units that weigh a
+    document by its tokens, residuals by the inverse of the posteriors' second moments: then the largest curvature
+    is 1, a full step is safe, and with no rate at its bound one is enough. The rates of every few steps are written.
     """
     size = len(target)
     weight = F.col("n_rows") * F.col("tokens")
@@ -99,15 +100,21 @@ def fit_rates(table: DataFrame, target: np.ndarray, most_steps: int = 60, close:
     for (i, j), v in zip(pairs, moments):
         second[i, j] = second[j, i] = v or 0.0
     inverse = np.linalg.pinv(second, rcond=1e-10, hermitian=True)
+    current = table.withColumn("rate", F.lit(1.0))
     steps: list[np.ndarray] = []
+    before = None
     for _ in range(most_steps):
-        rate = _rate(steps)
-        now = np.array([v or 0.0 for v in table.agg(*[F.sum(weight * rate * F.col(f"p{i}")) for i in range(size)]).first()])
+        if len(steps) == WRITTEN:
+            current, steps = cut(current.withColumn("rate", _rate(steps, least)), "rates"), []
+        rate = _rate(steps, least)
+        now = np.array([v or 0.0 for v in current.agg(*[F.sum(weight * rate * F.col(f"p{i}")) for i in range(size)]).first()])
         gap = now - target
-        if np.abs(gap).max() <= close * max(target.sum(), 1.0):
-            break
+        small = close * max(target.sum(), 1.0)
+        if np.abs(gap).max() <= small or before is not None and np.abs(gap - before).max() <= small:
+            break  # met, or as near as rates can come
+        before = gap
         steps.append(inverse @ gap)
-    return steps
+    return current.withColumn("rate", _rate(steps, least))
 
 
 def mix(
@@ -121,20 +128,45 @@ def mix(
     by default as many as there are. A null or empty text has no tokens and rate 1 less the steps of its priors.
     Repeated rows are one row with n_rows; a null id is kept. Without labels every rate is 1.
     """
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    names, priors, chances = learn(base, labelled.select(F.col(doc_id).alias("doc_id"), F.col(domain).alias("domain")), "doc_id", "text", "domain", sample)
-    if not names:
-        names, priors, chances = ["all"], [1.0], base.sparkSession.createDataFrame([], "place bigint, p0 double")
-        weights = {"all": 1.0}
-    # a word that no labelled text has says nothing about the domain
-    table = cut(posteriors(base, names, priors, chances, [0.0] * len(names), "doc_id", "text"), "posteriors")
-    total = tokens if tokens is not None else (table.agg(F.sum(F.col("n_rows") * F.col("tokens"))).first()[0] or 0.0)
-    share = np.array([weights.get(n, 0.0) for n in names])
+    table, names = _posterior_table(docs, labelled, doc_id, text, domain, sample)
+    now = _tokens(table, len(names))
+    share = np.array([weights.get(n, 0.0) for n in names]) if names != ["all"] else np.ones(1)
     if share.sum() <= 0:
         raise ValueError(f"no weight for any of the domains {names}")
-    steps = fit_rates(table, share / share.sum() * total)
+    target = share / share.sum() * (now.sum() if tokens is None else tokens)
+    return _named(with_rates(table, target), names), names
+
+
+def lifted(
+    docs: DataFrame, labelled: DataFrame, floors: dict[str, float], doc_id: str = "doc_id", text: str = "text", domain: str = "domain", sample: int = 20_000,
+) -> DataFrame:
+    """Like `mix`, but each domain's target is what it has, or its floor as a share of all if that is more; rates are at least 1."""
+    table, names = _posterior_table(docs, labelled, doc_id, text, domain, sample)
+    now = _tokens(table, len(names))
+    target = np.maximum(now, now.sum() * np.array([floors.get(n, 0.0) for n in names]))
+    return _named(with_rates(table, target, least=1.0), names)
+
+
+def _posterior_table(docs, labelled, doc_id, text, domain, sample) -> tuple[DataFrame, list[str]]:
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    known = labelled.select(F.col(doc_id).alias("doc_id"), F.col(domain).alias("domain"))
+    names, priors, chances = learn(base, known, "doc_id", "text", "domain", sample)
+    if not names:  # nothing is known: one domain that all texts are in
+        names, priors = ["all"], [1.0]
+        chances = base.select(F.lit(0).cast("bigint").alias("place"), F.lit(0.0).alias("p0")).limit(0)
+    # a word that no labelled text has says nothing about the domain
+    return cut(posteriors(base, names, priors, chances, [0.0] * len(names), "doc_id", "text"), "posteriors"), names
+
+
+def _tokens(table: DataFrame, size: int) -> np.ndarray:
+    """Expected tokens of each domain as the documents are."""
+    weight = F.col("n_rows") * F.col("tokens")
+    return np.array([v or 0.0 for v in table.agg(*[F.sum(weight * F.col(f"p{i}")) for i in range(size)]).first()])
+
+
+def _named(rated: DataFrame, names: list[str]) -> DataFrame:
     posterior = F.array(*[F.col(f"p{i}") for i in range(len(names))]).alias("posterior")
-    return table.select("doc_id", "_id", "_text", "n_rows", "tokens", posterior, _rate(steps).alias("rate")), names
+    return rated.select("doc_id", "_id", "_text", "n_rows", "tokens", posterior, "rate")
 
 
 def totals(mixed: DataFrame, names: list[str]) -> DataFrame:

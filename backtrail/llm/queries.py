@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.llm import embeddings, language, packing, quality, rules, secret_scan, simhash, toxicity
+from backtrail.llm import chat, embeddings, language, mixing, packing, quality, rules, secret_scan, simhash, toxicity
 from backtrail.llm.common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,23 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_embedding_near_duplicates", embeddings.SQL)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, folder, "embeddings"))
+
+
+#: Shares of the tokens by label, quality and toxicity, that the mixture shall have.
+DOMAIN_WEIGHTS = {"q1t0": 0.8, "q1t1": 0.06, "q0t0": 0.12, "q0t1": 0.02}
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the labelled rows."""
+    return labels.select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string")).alias("domain"))
+
+
+@query("op3_mixing_to_targets")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    mixed, _ = mixing.mix(read(spark, folder, "documents"), label_domains(read(spark, folder, "labels")), DOMAIN_WEIGHTS)
+    return mixed.select("doc_id", "n_rows", "tokens", "posterior", "rate")
+
+
+@query("op7_chat_preferences", chat.SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.preferences(*chat.swapped_answers(read(spark, folder, "conversations")))
