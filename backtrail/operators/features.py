@@ -26,11 +26,13 @@ SAME = {
     "session": "session_id",
 }
 GAP_SAME = ("type", "desc", "channel_type", "currency", "device", "mcc", "subtype")
+# Fixed values.
 LOG_COUNT_COLUMNS = (
     "event_type_nm", "event_desc", "channel_indicator_type", "channel_indicator_sub_type", "currency_iso_cd",
     "mcc_code_i", "pos_cd", "timezone", "session_id", "operating_system_type", "developer_tools_i",
     "compromised_i", "phone_voip_call_state", "web_rdp_connection",
 )
+# Fixed values.
 FIRST_TIME = {
     "is_new_event_type": "event_type_nm", "is_new_event_desc": "event_desc",
     "is_new_channel_type": "channel_indicator_type", "is_new_channel_sub": "channel_indicator_sub_type",

@@ -20,7 +20,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from backtrail.operators.lookups import heavy_keys, spread_join
+from backtrail.operators.lookups import heavy_keys, split_by_keys, spread_join
 from backtrail.settings import ensure_checkpoint_folder, setting
 
 BLOCK = "_block"
@@ -107,17 +107,15 @@ class History:
         keys = (entity,) if isinstance(entity, str) else tuple(entity)
         limit = rows_per_task or setting(df.sparkSession, "backtrail.rows.per.task")
         if not keys:
-            total = df.count()
+            total, limit = df.count(), min(limit, setting(df.sparkSession, "backtrail.rows.per.global.task"))
             if total <= limit:
                 return History(df, None, keys, tuple(order))
             return History(None, _cut(df, keys, order, total, limit), keys, tuple(order))
         heavy = heavy_keys(df, list(keys), limit)
         if heavy is None:
             return History(df.repartition(*keys), None, keys, tuple(order))
-        named = F.broadcast(heavy)
-        hot = df.join(named, list(keys), "left_semi")
-        light = df.join(named, list(keys), "left_anti").repartition(*keys)
-        return History(light, _cut(hot, keys, order, hot.count(), limit), keys, tuple(order))
+        hot, light = split_by_keys(df, heavy, list(keys))
+        return History(light.repartition(*keys), _cut(hot, keys, order, hot.count(), limit), keys, tuple(order))
 
     # -- assembling ---------------------------------------------------------------------------
 
@@ -222,7 +220,8 @@ class History:
         seconds = df.groupBy(*keys).agg(
             *[(F.sum(w.value) if w.kind == "sum" else F.max(w.value)).alias(n) for n, w in features.items()]
         )
-        result = seconds.select(*keys)
+        whole = F.struct(*keys).alias("_key")  # as one value, in which null equals null
+        result = seconds.select(whole)
         for width in sorted({w.seconds for w in features.values()}):
             names = [n for n, w in features.items() if w.seconds == width]
             own = seconds.select(
@@ -252,8 +251,8 @@ class History:
                 else:
                     columns[f"_w_{n}"] = F.greatest(here, there)
             part = own.unionByName(tail).withColumns(columns).filter("_own")
-            result = result.join(part.select(*keys, *[F.col(f"_w_{n}").alias(n) for n in names]), keys)
-        return spread_join(df, result, keys)
+            result = result.join(part.select(whole, *[F.col(f"_w_{n}").alias(n) for n in names]), "_key")
+        return spread_join(df.withColumn("_key", whole), result, ["_key"]).drop("_key")
 
     # -- neighbouring rows --------------------------------------------------------------------------
 

@@ -64,7 +64,7 @@ def gather_scores(template: DataFrame, sources: dict[str, DataFrame]) -> DataFra
     """Template events with one column per score table, null where it has no score."""
     out = template.select("event_id")
     for name, table in sources.items():
-        out = lookup(out, table.select("event_id", F.col("predict").alias(name)), "event_id")
+        out = lookup(out, table.select("event_id", F.col("predict").alias(name)), "event_id", unique=True)
     return out
 
 

@@ -100,7 +100,7 @@ def count_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def labelled_per_key(df: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
     """Labelled rows and red rows per key, from the labelled events only."""
-    joined = lookup(df, labels.select("event_id", "target"), "event_id", "inner")
+    joined = lookup(df, labels.select("event_id", "target"), "event_id", "inner", unique=True)
     return joined.groupBy(*keys).agg(F.count("*").alias("lbl"), F.sum("target").cast("double").alias("red"))
 
 
@@ -110,7 +110,7 @@ def prior_table(events: DataFrame, labels: DataFrame, keys: list[str], cutoff: s
     The rates of all rows are drawn towards 1/200, the share among labelled rows towards 1/2.
     """
     name = "x".join(keys)
-    source = lookup(prior_source(events, keys, cutoff), labels.select("event_id", "target"), "event_id")
+    source = lookup(prior_source(events, keys, cutoff), labels.select("event_id", "target"), "event_id", unique=True)
     sums = source.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count("target").alias("lbl"), F.coalesce(F.sum("target"), F.lit(0)).alias("red")
     )

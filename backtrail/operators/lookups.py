@@ -1,6 +1,6 @@
 """Joins of a large table with a table that holds one row per key.
 
-A lookup table is broadcast only after its rows were counted. Beyond the bound the join is a
+A lookup table is broadcast only after its rows and bytes were counted. Beyond the bound the join is a
 shuffle, and keys that hold too many rows of the large side are spread over several tasks.
 """
 
@@ -11,24 +11,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from backtrail.settings import setting
+from backtrail.settings import ensure_checkpoint_folder, setting
 
 SALT = "_salt"
 
 
 def heavy_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
-    """Keys with more than `limit` rows, as a table of bounded size; None when there are none.
+    """Keys with more than `limit` rows, the null key among them, as a checkpointed table; None when there are none.
 
-    At most `backtrail.heavy.keys` keys are returned, largest first, so by counting every key left
-    out holds at most total/that many rows.
+    There are fewer than rows / limit of them. They are never collected.
     """
-    spark = df.sparkSession
-    most = setting(spark, "backtrail.heavy.keys")
-    counts = df.groupBy(*keys).count().filter(F.col("count") > limit)
-    rows = counts.orderBy(F.col("count").desc(), *keys).limit(most).select(*keys).collect()
-    if not rows:
-        return None
-    return spark.createDataFrame(rows, df.select(*keys).schema)
+    ensure_checkpoint_folder(df.sparkSession)
+    heavy = df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys).checkpoint()
+    return None if heavy.isEmpty() else heavy
+
+
+def split_by_keys(df: DataFrame, listed: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is listed and the other rows; null matches null."""
+    named = listed.select(*[F.col(k).alias(f"_listed_{k}") for k in keys])
+    if fits_broadcast(named):
+        named = F.broadcast(named)
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_listed_{k}")) for k in keys])
+    return df.join(named, match, "left_semi"), df.join(named, match, "left_anti")
 
 
 def same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -36,35 +40,63 @@ def same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: text by its length, arrays by eight bytes an element."""
+    parts = [F.lit(0).cast("long")]
+    for field in df.schema.fields:
+        kind, column = field.dataType.typeName(), F.col(f"`{field.name}`")
+        size = {"string": F.octet_length, "binary": F.octet_length, "array": lambda c: F.size(c) * 8, "map": lambda c: F.size(c) * 32}.get(kind)
+        parts.append(F.lit(8) if size is None else F.coalesce(F.greatest(size(column), F.lit(0)), F.lit(0)) + 16)
+    return reduce(lambda a, b: a + b, parts)
+
+
 def fits_broadcast(df: DataFrame) -> bool:
-    cap = setting(df.sparkSession, "backtrail.broadcast.rows")
-    return df.limit(cap + 1).count() <= cap
+    """Whether a table is within the bounds of rows and of bytes for a broadcast."""
+    spark = df.sparkSession
+    cap = setting(spark, "backtrail.broadcast.rows")
+    rows, size = df.limit(cap + 1).agg(F.count("*"), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()
+    return rows <= cap and size <= setting(spark, "backtrail.broadcast.bytes")
 
 
-def lookup(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left", unique: bool = False) -> DataFrame:
     """Join `right`, which has one row per key, to `left` (how: left, inner, left_semi, left_anti).
 
-    The right side is kept between its count and the join, so it is computed once; when it turns out
-    large it is let go. Call `spread_join` directly where the right side grows with the events.
+    At most the rows that may be broadcast are checkpointed to be measured; a small table is so computed
+    once and nothing stays cached. Call `spread_join` directly where the right side grows with the events.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    right = right.persist()
-    if fits_broadcast(right):
-        return left.join(F.broadcast(right), keys, how)
-    return spread_join(left, right.unpersist(), keys, how)
+    ensure_checkpoint_folder(left.sparkSession)
+    some = right.limit(setting(left.sparkSession, "backtrail.broadcast.rows") + 1).checkpoint()
+    if fits_broadcast(some):
+        return left.join(F.broadcast(some), keys, how)
+    return spread_join(left, right, keys, how, unique)
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", unique: bool = False) -> DataFrame:
     """Shuffled lookup in which the rows of a heavy key are dealt to several tasks.
 
-    The single right-hand row of a heavy key is repeated once per salt; other keys use salt 0.
+    The single right-hand row of a heavy key is repeated once per salt; other keys use salt 0. Rows of
+    `left` with a null in the key match nothing and take no part in the shuffle. Set `unique` where a
+    key has few rows of `left` too, as an event id has: then nothing is counted.
     """
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    if not unique and any(left.schema[k].nullable for k in keys):
+        joined = _spread(left.filter(known), right, keys, how)
+        if how in ("inner", "left_semi"):
+            return joined
+        return joined.unionByName(left.filter(~known), allowMissingColumns=True)
+    return left.join(right, keys, how) if unique else _spread(left, right, keys, how)
+
+
+def _spread(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     spark = left.sparkSession
     heavy = heavy_keys(left, keys, setting(spark, "backtrail.rows.per.task"))
     if heavy is None:
         return left.join(right, keys, how)
     salts = setting(spark, "backtrail.salts")
-    flagged = F.broadcast(heavy.withColumn("_heavy", F.lit(True)))
+    flagged = heavy.withColumn("_heavy", F.lit(True))
+    if fits_broadcast(heavy):
+        flagged = F.broadcast(flagged)
     # the partition number keeps exact copies of one row from sharing a salt
     deal = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in _hashable(left)]), F.lit(salts)).cast("int")
     salted_left = (

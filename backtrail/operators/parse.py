@@ -113,7 +113,7 @@ def add_amounts(events: DataFrame) -> DataFrame:
 
 def add_labels(events: DataFrame, labels: DataFrame) -> DataFrame:
     """Train label and the red, yellow and labelled flags."""
-    joined = lookup(events, labels.select("event_id", "target"), "event_id")
+    joined = lookup(events, labels.select("event_id", "target"), "event_id", unique=True)
     label = m.train_label("period", "target")
     red = F.coalesce((label == 1).cast("int"), F.lit(0))
     yellow = F.coalesce((label == 0).cast("int"), F.lit(0))

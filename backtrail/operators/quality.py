@@ -132,6 +132,7 @@ def means(df: DataFrame, columns: list[str]) -> DataFrame:
 # -- audit ------------------------------------------------------------------------------------------
 
 # Features built from labels; they describe the training rows too well to be used on others.
+# Fixed values.
 RISKY_FEATURES = (
     "cnt_prev_labeled_same_desc", "cnt_prev_red_same_desc_lbl", "cnt_prev_yellow_same_desc_lbl",
     "red_rate_prev_same_desc_lbl", "cnt_prev_red_same_channel", "cnt_prev_labeled_same_channel",

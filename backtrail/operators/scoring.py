@@ -18,6 +18,7 @@ from backtrail.operators.joins import only_row
 from backtrail.operators.lookups import lookup, spread_join
 
 # Shares of the outside score tried by the strategy grid.
+# Fixed values.
 OUTSIDE_SHARES = (0.55, 0.65, 0.75, 0.85, 0.90, 0.95)
 
 

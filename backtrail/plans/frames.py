@@ -37,14 +37,14 @@ def _listed(spark, folder):
     return j.keep_customers(rows, busy).select("event_id")
 
 
-@query("embeddings_attached", "J10", sql="""SELECT event_id, COALESCE(CAST(embedding[1] AS DOUBLE), 0.0) AS emb_0, COALESCE(CAST(embedding[2] AS DOUBLE), 0.0) AS emb_1,
-    COALESCE(CAST(embedding[64] AS DOUBLE), 0.0) AS emb_63 FROM ev LEFT JOIN (SELECT vec_id AS customer_id, embedding FROM embeddings WHERE vec_id % 3 <> 0) USING (customer_id)""")
+@query("embeddings_attached", "J10", sql="SELECT event_id, " + ", ".join(f"COALESCE(CAST(embedding[{i + 1}] AS DOUBLE), 0.0) AS emb_{i}" for i in range(64))
+       + " FROM ev LEFT JOIN (SELECT vec_id AS customer_id, embedding FROM embeddings WHERE vec_id % 3 <> 0) USING (customer_id)")
 def _embeddings(spark, folder):
     from backtrail.operators.sequences import attach_embeddings
 
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet").filter("vec_id % 3 <> 0")
     vectors = vectors.select(F.col("vec_id").alias("customer_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return attach_embeddings(events(spark, folder), vectors, 64).select("event_id", "emb_0", "emb_1", "emb_63")
+    return attach_embeddings(events(spark, folder), vectors, 64).select("event_id", *[f"emb_{i}" for i in range(64)])
 
 
 @query("labels_set_by_membership", "J15", "P35", sql="""SELECT event_id, CASE period WHEN 'pretrain' THEN 0 WHEN 'train' THEN 1 WHEN 'pretest' THEN 2 ELSE 3 END AS dataset,
@@ -108,9 +108,9 @@ def _customers(spark, folder):
     return events(spark, folder).filter("period = 'pretrain'").select("customer_id").distinct()
 
 
-@query("last_rows_per_customer", "O3", sql="SELECT event_id, back FROM (SELECT event_id, row_number() OVER (PARTITION BY customer_id ORDER BY sec DESC, event_id DESC) AS back FROM ev) WHERE back <= 20")
+@query("last_rows_per_customer", "O3", sql="SELECT event_id, back FROM (SELECT event_id, row_number() OVER (PARTITION BY customer_id ORDER BY sec DESC, event_id DESC) AS back FROM ev) WHERE back <= 500")
 def _tail(spark, folder):
-    return rw.last_rows(events(spark, folder).select("customer_id", "event_id", "sec"), "customer_id", ORDER, 20).select("event_id", F.col("back").cast("long").alias("back"))
+    return rw.last_rows(events(spark, folder).select("customer_id", "event_id", "sec"), "customer_id", ORDER, 500).select("event_id", F.col("back").cast("long").alias("back"))
 
 
 @query("union_of_periods", "S1", "SRC7", sql="SELECT period, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents, count(DISTINCT customer_id) AS people FROM ev GROUP BY 1")

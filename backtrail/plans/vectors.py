@@ -29,7 +29,7 @@ def _fields(spark, folder):
     return rows.select("customer_id", *ORDER, *[F.col(c).alias(n) for n, c in FIELDS.items()], F.coalesce(m.log_size("amt"), F.lit(0.0)).alias("amt_log"))
 
 
-def _sequences(spark, folder, n=30):
+def _sequences(spark, folder, n=500):
     return sq.customer_sequences(_fields(spark, folder), [*FIELDS, "amt_log"], ORDER, n)
 
 
@@ -42,14 +42,14 @@ _TAIL = f"{_F_SQL}, tl AS (SELECT *, row_number() OVER (PARTITION BY customer_id
 
 
 @query("customer_sequences", "A9", sql=f"WITH {_TAIL} SELECT customer_id, " + ", ".join(f"string_agg(CAST({n} AS VARCHAR), ',' ORDER BY sec, event_id) AS {n}_seq" for n in FIELDS)
-       + ", string_agg(CAST(CAST(floor(COALESCE(ln(1 + abs(amt)), 0) * 10000 + 0.5) AS BIGINT) AS VARCHAR), ',' ORDER BY sec, event_id) AS amt_log_seq, any_value(total) AS total_events FROM tl WHERE back <= 30 GROUP BY 1")
+       + ", string_agg(CAST(CAST(floor(COALESCE(ln(1 + abs(amt)), 0) * 10000 + 0.5) AS BIGINT) AS VARCHAR), ',' ORDER BY sec, event_id) AS amt_log_seq, any_value(total) AS total_events FROM tl WHERE back <= 500 GROUP BY 1")
 def _seq(spark, folder):
     s = _sequences(spark, folder)
     scaled = F.transform("amt_log_seq", lambda v: F.floor(v * 10000 + 0.5))
     return s.select("customer_id", *[_text(f"{n}_seq").alias(f"{n}_seq") for n in FIELDS], _text(scaled).alias("amt_log_seq"), "total_events")
 
 
-_SIZE, _LEN = 30, 16
+_SIZE, _LEN = 500, 64
 _VIEWS_SQL = f"""{_TAIL}, ls AS (SELECT customer_id, list(etype ORDER BY sec, event_id) AS etype, list(mcc ORDER BY sec, event_id) AS mcc FROM tl WHERE back <= {_SIZE} GROUP BY 1),
     vw AS (SELECT *, CASE WHEN len(etype) <= {_LEN} THEN 0 ELSE (customer_id * 40503 + view * 2654435761) % greatest(len(etype) - {_LEN}, 1) END AS start FROM ls, (VALUES (0), (1)) t(view))"""
 
@@ -61,12 +61,12 @@ def _views(spark, folder):
 
 
 def _pad(c, top):
-    return f"array_to_string(list_transform(range({_LEN * 2}), lambda i: CASE WHEN i < len({c}) THEN least(greatest({c}[i + 1] + 1, 0), {top}) ELSE 0 END), ',')"
+    return f"array_to_string(list_transform(range((SELECT max(len(etype)) FROM ls)), lambda i: CASE WHEN i < len({c}) THEN least(greatest({c}[i + 1] + 1, 0), {top}) ELSE 0 END), ',')"
 
 
-@query("padded_sequences", "M28", sql=f"WITH {_VIEWS_SQL} SELECT customer_id, {_pad('etype', 19)} AS etype_seq, {_pad('mcc', 24)} AS mcc_seq, array_to_string(list_transform(range({_LEN * 2}), lambda i: CASE WHEN i < len(etype) THEN 1 ELSE 0 END), ',') AS mask FROM ls")
+@query("padded_sequences", "M28", sql=f"WITH {_VIEWS_SQL} SELECT customer_id, {_pad('etype', 19)} AS etype_seq, {_pad('mcc', 24)} AS mcc_seq, array_to_string(list_transform(range((SELECT max(len(etype)) FROM ls)), lambda i: CASE WHEN i < len(etype) THEN 1 ELSE 0 END), ',') AS mask FROM ls")
 def _padded(spark, folder):
-    p = sq.padded(_sequences(spark, folder, _SIZE), ["etype", "mcc"], _LEN * 2)
+    p = sq.padded(_sequences(spark, folder, _SIZE), ["etype", "mcc"])
     return p.select("customer_id", *[_text(c).alias(c) for c in ("etype_seq", "mcc_seq", "mask")])
 
 
@@ -155,11 +155,11 @@ def _pool_vectors(spark, folder):
 
 
 @query("sequence_segments", "W41", sql="""WITH p AS (SELECT customer_id, sec, period, row_number() OVER ({c}) - 1 AS pos, count(*) OVER (PARTITION BY customer_id) AS total FROM ev),
-    b AS (SELECT customer_id, CAST(floor(pos / 16.0) AS BIGINT) AS block, min(pos) AS start, max(pos) + 1 AS stop, max(sec) AS last, any_value(total) AS total, bool_or(period = 'train') AS wanted FROM p GROUP BY 1, 2)
-    SELECT customer_id, block, greatest(start - 8, 0) AS context_start, start, stop AS "end",
+    b AS (SELECT customer_id, CAST(floor(pos / 256.0) AS BIGINT) AS block, min(pos) AS start, max(pos) + 1 AS stop, max(sec) AS last, any_value(total) AS total, bool_or(period = 'train') AS wanted FROM p GROUP BY 1, 2)
+    SELECT customer_id, block, greatest(start - 128, 0) AS context_start, start, stop AS "end",
       greatest(least(stop + 30, (SELECT count(*) FROM p WHERE p.customer_id = b.customer_id AND p.sec <= b.last + 86400), total), stop) AS context_end FROM b WHERE wanted""")
 def _segments(spark, folder):
-    return sq.segments(events(spark, folder), ORDER, F.col("period") == "train", block=16, context=8)
+    return sq.segments(events(spark, folder), ORDER, F.col("period") == "train")
 
 
 # -- sources and sinks -----------------------------------------------------------------------------------
@@ -170,10 +170,9 @@ def _shared_folder(spark):
     return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
 
 
-@query("parquet_scan_of_columns", "SRC1", "SRC2", sql="SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity < 3")
+@query("parquet_scan_of_columns", "SRC1", "SRC2", sql="SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
 def _scan(spark, folder):
-    df = tables.read_columns(spark, f"{folder}/lineitem.parquet", ["l_orderkey", "l_linenumber", "l_quantity"])
-    return df.filter("l_quantity < 3")
+    return tables.read_columns(spark, f"{folder}/lineitem.parquet", ["l_orderkey", "l_linenumber", "l_quantity"])
 
 
 @query("written_parts_merged", "SNK1", "SNK2", "SRC2", sql="SELECT event_id, cents, CASE WHEN event_id % 3 = 0 THEN timezone END AS timezone FROM ev")

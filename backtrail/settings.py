@@ -14,8 +14,10 @@ DEFAULTS = {
     "backtrail.rows.per.range.task": 100_000,
     # Largest lookup table that is broadcast; larger ones are joined by shuffle.
     "backtrail.broadcast.rows": 200_000,
-    # Most keys treated as heavy at once; the rest hold at most total/this rows each.
-    "backtrail.heavy.keys": 100_000,
+    # The same in bytes.
+    "backtrail.broadcast.bytes": 64 << 20,
+    # Most rows of a history without an entity that are one block.
+    "backtrail.rows.per.global.task": 100_000,
     # Pieces a heavy key is cut into for a shuffled lookup.
     "backtrail.salts": 64,
 }

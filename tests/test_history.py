@@ -73,6 +73,20 @@ def test_blocks_are_bounded(tight):
     assert cut.frame().count() == df.count()
 
 
+@pytest.mark.parametrize("beside", [False, True])
+def test_heavy_null_entities_are_cut_like_others(tight, beside):
+    """Half the rows have no customer: alone above the limit, or beside another heavy one."""
+    who = "when event_id % 3 = 1 then 0 else event_id" if beside else "else event_id"
+    df = random_events(tight).withColumn("customer_id", F.expr(f"case when event_id % 2 = 0 then null {who} end"))
+    plain = all_features(History.of(df, "customer_id", ORDER, rows_per_task=10**6))
+    cut = History.of(df, "customer_id", ORDER, rows_per_task=20)
+    assert cut.heavy.filter("customer_id IS NULL").count() == 150
+    assert max(r["count"] for r in cut.heavy.groupBy("customer_id", "_block").count().collect()) <= 40
+    key = lambda r: r["event_id"]
+    columns = plain.frame().columns
+    assert sorted(plain.frame().collect(), key=key) == sorted(all_features(cut).frame().select(columns).collect(), key=key)
+
+
 def test_later_rows_and_the_own_label_change_nothing(spark):
     df = random_events(spark).withColumn("is_red_lbl", F.col("red")).withColumn("is_yellow_lbl", F.lit(0)).withColumn("is_labeled_fb", F.col("red"))
     df = df.withColumn("event_desc", F.col("kind")).withColumn("channel_indicator_type", F.col("kind")).withColumn("event_type_nm", F.col("kind"))
@@ -121,6 +135,24 @@ def test_spread_join_keeps_every_row(tight):
     assert got == want
 
 
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_spread_join_of_null_keys(tight, how):
+    left = tight.range(300).selectExpr("id", "case when id % 2 = 0 then null when id % 3 = 0 then 7 else id end as k")
+    right = tight.range(80).selectExpr("case when id = 5 then null else id end as k", "id * 2 as v")
+    got = sorted(map(tuple, spread_join(left, right, ["k"], how).select("id").collect()))
+    assert got == sorted(map(tuple, left.join(right, "k", how).select("id").collect()))
+
+
+def test_lookup_is_broadcast_by_bytes_as_well(spark):
+    from backtrail.operators.lookups import fits_broadcast
+
+    wide = spark.range(10).selectExpr("id as k", "array_repeat(1.0D, 1000) as v")
+    assert fits_broadcast(wide)
+    spark.conf.set("backtrail.broadcast.bytes", "50000")
+    assert not fits_broadcast(wide) and fits_broadcast(wide.select("k"))
+    spark.conf.unset("backtrail.broadcast.bytes")
+
+
 def test_checkpoint_folder_of_the_session_is_used(spark, tmp_path):
     from backtrail.settings import ensure_checkpoint_folder
 

@@ -1,19 +1,14 @@
-"""Registered queries against their SQL twins on the smallest tables.
-
-One query in three is run; set BACKTRAIL_ALL_QUERIES=1 for all of them (about seven minutes), or use
-tools/check.py for other sizes.
-"""
-
-import os
+"""All registered queries against their SQL twins on the smallest tables; tools/check.py takes other sizes."""
 
 import pytest
 from check import compare, oracle
 from conftest import FOLDER
 
 from __spark_entry__ import FLAGSHIP, entry, oracle_sql, queries
+from backtrail.plans import REGISTRY
 
 SQL = oracle_sql()
-NAMES = sorted(SQL) if os.environ.get("BACKTRAIL_ALL_QUERIES") else sorted({FLAGSHIP, *sorted(SQL)[::3]})
+NAMES = sorted(set(SQL) & set(REGISTRY))
 # Forms for heavy keys and large lookups are compared on these as well.
 TIGHT_NAMES = [
     FLAGSHIP, "past_amount_moments", "signed_velocity_windows", "trailing_row_means", "label_history_logs",
