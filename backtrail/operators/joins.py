@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,11 +63,17 @@ def fill_template(template: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def gather_scores(template: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
-    """Template events with one column per score table, null where it has no score."""
-    out = template.select("event_id")
-    for name, table in sources.items():
-        out = lookup(out, table.select("event_id", F.col("predict").alias(name)), "event_id", unique=True)
-    return out
+    """Template events with one column per score table, null where it has no score.
+
+    All tables meet in one aggregation by event, which is joined once. Of several scores of one
+    event in one table the largest is taken.
+    """
+    tagged = [t.select("event_id", F.lit(name).alias("_source"), F.col("predict").alias("_score")) for name, t in sources.items()]
+    if not tagged:
+        return template.select("event_id")
+    every = reduce(lambda a, b: a.unionByName(b), tagged)
+    scores = [F.max(F.when(F.col("_source") == name, F.col("_score"))).alias(name) for name in sources]
+    return lookup(template.select("event_id"), every.groupBy("event_id").agg(*scores), "event_id", unique=True)
 
 
 def fill_medians(df: DataFrame, columns: list[str]) -> DataFrame:
