@@ -16,9 +16,9 @@ from backtrail.functions import measures as m
 from backtrail.operators.history import History, Past
 from backtrail.operators.joins import only_row
 from backtrail.operators.lookups import lookup, spread_join
+from backtrail.operators.weights import search
 
-# Shares of the outside score tried by the strategy grid.
-# Fixed values.
+# Shares of the outside score tried by the strategy grid.
 OUTSIDE_SHARES = (0.55, 0.65, 0.75, 0.85, 0.90, 0.95)
 
 
@@ -183,11 +183,21 @@ def weight_grid(df: DataFrame, heads: list[str], parts: int) -> DataFrame:
 
 
 def search_weights(df: DataFrame, target: str, heads: list[str], parts: int, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """AP of every weighting: one row per weighting. `keep` may drop weightings outside a range."""
-    grid = weight_grid(df.select(target, *heads), heads, parts)
-    if keep is not None:
-        grid = keep(grid)
-    return average_precision(grid, target, "blend", [f"w_{h}" for h in heads]).select(*[f"w_{h}" for h in heads], "ap")
+    """AP of every weighting: one row per weighting. `keep` may drop weightings outside a range.
+
+    Rows without one of the scores are left out. Only where the positives are too many to be held by every task are
+    rows repeated per weighting.
+    """
+    one = df.sparkSession.range(1).select(*[F.lit(0.0).alias(h) for h in heads])
+    grid = weight_grid(one, heads, parts)
+    grid = grid if keep is None else keep(grid)
+
+    def by_rows() -> DataFrame:
+        every = weight_grid(df.select(target, *heads).na.drop(subset=heads), heads, parts)
+        every = every if keep is None else keep(every)
+        return average_precision(every, target, "blend", [f"w_{h}" for h in heads]).select(*[f"w_{h}" for h in heads], "ap")
+
+    return search(df, target, heads, grid, by_rows)
 
 
 def best_row(results: DataFrame, ties: list[str]) -> DataFrame:

@@ -209,9 +209,9 @@ _GRID = """grid AS (SELECT i / {k}.0 AS w_p_a, jj / {k}.0 AS w_p_b, ({k} - i - j
     g AS (SELECT i * 1000 + jj AS id, y, w_p_a * p_a + w_p_b * p_b + w_p_c * p_c AS s FROM sc CROSS JOIN grid)"""
 
 
-@query("blend_weight_grid", "M19", sql=f"WITH {_SC}, {_GRID.format(k=10)} SELECT CAST(w_p_a AS DOUBLE) AS w_p_a, CAST(w_p_b AS DOUBLE) AS w_p_b, CAST(w_p_c AS DOUBLE) AS w_p_c, round(ap, 6) AS ap FROM ({_ap('g', by='id')}) JOIN grid ON id = i * 1000 + jj")
+@query("blend_weight_grid", "M19", sql=f"WITH {_SC}, {_GRID.format(k=100)} SELECT CAST(w_p_a AS DOUBLE) AS w_p_a, CAST(w_p_b AS DOUBLE) AS w_p_b, CAST(w_p_c AS DOUBLE) AS w_p_c, round(ap, 6) AS ap FROM ({_ap('g', by='id')}) JOIN grid ON id = i * 1000 + jj")
 def _grid(spark, folder):
-    found = s.search_weights(scored(spark, folder), "y", ["p_a", "p_b", "p_c"], 10)
+    found = s.search_weights(scored(spark, folder), "y", ["p_a", "p_b", "p_c"], 100)
     return found.select("w_p_a", "w_p_b", "w_p_c", *r("ap"))
 
 
@@ -221,13 +221,21 @@ def _grid_two(spark, folder):
     return s.search_weights(scored(spark, folder), "y", ["p_a", "p_b"], 100).select("w_p_a", *r("ap"))
 
 
-@query("best_blend", "O4", "M19", sql=f"WITH {_SC}, {_GRID.format(k=5)}, apx AS ({_ap('g', by='id')}) SELECT round(max(ap), 6) AS ap, arg_max(CAST(w_p_a AS DOUBLE), ap) AS w_p_a, arg_max(CAST(w_p_b AS DOUBLE), ap) AS w_p_b FROM apx JOIN grid ON id = i * 1000 + jj")
+@query("blend_weight_grid_four_heads", "M19", sql=f"""WITH {_SC}, grid AS (SELECT i / 20.0 AS a, jj / 20.0 AS b, k / 20.0 AS c, (20 - i - jj - k) / 20.0 AS d, i * 10000 + jj * 100 + k AS id FROM range(21) x(i), range(21) y(jj), range(21) z(k) WHERE i + jj + k <= 20),
+    g AS (SELECT id, y, a * p_a + b * p_b + c * p_c + d * p_d AS s FROM sc CROSS JOIN grid)
+    SELECT CAST(a AS DOUBLE) AS w_p_a, CAST(b AS DOUBLE) AS w_p_b, CAST(c AS DOUBLE) AS w_p_c, CAST(d AS DOUBLE) AS w_p_d, round(ap, 6) AS ap FROM ({_ap('g', by='id')}) JOIN grid USING (id)""")
+def _grid_four(spark, folder):
+    """Every twentieth; the operator takes any step, the SQL repeats all rows per weighting."""
+    return s.search_weights(scored(spark, folder), "y", ["p_a", "p_b", "p_c", "p_d"], 20).select("w_p_a", "w_p_b", "w_p_c", "w_p_d", *r("ap"))
+
+
+@query("best_blend", "O4", "M19", sql=f"WITH {_SC}, {_GRID.format(k=20)}, apx AS ({_ap('g', by='id')}) SELECT round(max(ap), 6) AS ap, arg_max(CAST(w_p_a AS DOUBLE), ap) AS w_p_a, arg_max(CAST(w_p_b AS DOUBLE), ap) AS w_p_b FROM apx JOIN grid ON id = i * 1000 + jj")
 def _best(spark, folder):
-    found = s.search_weights(scored(spark, folder), "y", ["p_a", "p_b", "p_c"], 5)
+    found = s.search_weights(scored(spark, folder), "y", ["p_a", "p_b", "p_c"], 20)
     return s.best_row(found, ["w_p_a", "w_p_b"]).select(*r("ap"), "w_p_a", "w_p_b")
 
 
-_SHARES = [i / 10 for i in range(11)]
+_SHARES = [i / 20 for i in range(21)]
 
 
 @query("blend_space_choice", "M20", sql=f"""WITH {_SC}, b AS (SELECT y, {_lg('p_a', '1e-7')} AS la, {_lg('p_b', '1e-7')} AS lb, {_rank('p_a', plus=0)} AS ra, {_rank('p_b', plus=0)} AS rb FROM sc), al AS (SELECT unnest({_SHARES})::DOUBLE AS share),
