@@ -366,6 +366,15 @@ def _narrow(spark, folder):
     return quality.narrowest_types(events(spark, folder), ["event_desc", "timezone", "screen_w", "session_id", "device_fp_i"])
 
 
+@query("narrowed_columns", "P44", sql="SELECT event_id, " + ", ".join(
+    f"""CAST({c} AS BIGINT) AS {c}, (SELECT CASE WHEN min({c}) >= -128 AND max({c}) <= 127 THEN 'tinyint' WHEN min({c}) >= -32768 AND max({c}) <= 32767 THEN 'smallint'
+      WHEN min({c}) >= -2147483648 AND max({c}) <= 2147483647 THEN 'int' ELSE 'bigint' END FROM ev) AS {c}_kind""" for c in ("event_desc", "screen_w", "device_fp_i")) + " FROM ev")
+def _narrowed(spark, folder):
+    names = ["event_desc", "screen_w", "device_fp_i"]
+    rows = quality.narrow(events(spark, folder).select("event_id", *names), names)
+    return rows.select("event_id", *[x for c in names for x in (F.col(c).cast("bigint").alias(c), F.typeof(c).alias(f"{c}_kind"))])
+
+
 @query("deduplicated_column_list", "P45", sql="SELECT event_id, customer_id, event_desc FROM ev")
 def _columns(spark, folder):
     return quality.select_present(events(spark, folder), ["event_id", "customer_id", "event_id", "no_such", "event_desc"])

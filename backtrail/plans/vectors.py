@@ -10,7 +10,7 @@ from backtrail.functions import measures as m
 from backtrail.operators import sequences as sq
 from backtrail.operators.joins import only_row
 from backtrail.plans.base import ORDER, bank_events, bank_labels, clocked, customers, events, fixed, labelled, query
-from backtrail.settings import ensure_checkpoint_folder
+from backtrail.settings import ensure_checkpoint_folder, remove_at_exit
 from backtrail.sources import sinks, tables
 
 FIELDS = {
@@ -167,7 +167,7 @@ def _segments(spark, folder):
 
 def _shared_folder(spark):
     ensure_checkpoint_folder(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+    return remove_at_exit(spark, f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}")
 
 
 @query("parquet_scan_of_columns", "SRC1", "SRC2", sql="SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
@@ -201,6 +201,22 @@ def _score_files(spark, folder):
     return tables.read_scores(spark, f"{base}/csv")
 
 
+@query("score_file_in_template_order", "SNK4", "J12", sql="""WITH t AS (SELECT event_id, row_number() OVER (ORDER BY sec DESC, event_id) - 1 AS position FROM ev WHERE period = 'test'),
+    s AS (SELECT event_id, (event_id % 97) / 97.0 AS predict FROM t WHERE event_id % 7 <> 0)
+    SELECT position, event_id, round(COALESCE(predict, (SELECT quantile_cont(predict, 0.5) FROM s)), 9) AS predict FROM t LEFT JOIN s USING (event_id)""")
+def _template_order(spark, folder):
+    from backtrail.operators.history import History, Past
+    from backtrail.operators.joins import fill_template
+
+    test = events(spark, folder).filter("period = 'test'").select("event_id", (-F.col("sec")).alias("_back"))
+    template = History.of(test, [], ["_back", "event_id"]).past(position=Past.count()).frame().drop("_back")
+    scores = test.filter("event_id % 7 <> 0").select("event_id", ((F.col("event_id") % 97) / 97.0).alias("predict"))
+    path = f"{_shared_folder(spark)}/ordered"
+    sinks.write_in_order(fill_template(template, scores).join(template, "event_id"), path)
+    written = spark.read.schema("position bigint, event_id bigint, predict double").option("header", True).csv(path)
+    return written.select("position", "event_id", *r("predict", digits=9))
+
+
 @query("artefact_built_once", "SNK6", sql="SELECT customer_id, count(*) AS n FROM ev GROUP BY 1")
 def _artefact(spark, folder):
     path = f"{_shared_folder(spark)}/counts"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,3 +46,17 @@ def ensure_checkpoint_folder(spark: SparkSession) -> None:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="backtrail-checkpoint-")
     context.setCheckpointDir(folder)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> str:
+    """Remove a folder when the driver's Python ends; gives the path back."""
+
+    def remove() -> None:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended already; the cluster's own clean-up takes the folder
+            pass
+
+    atexit.register(remove)
+    return path

@@ -39,6 +39,12 @@ def write_scores(scores: DataFrame, csv_path: str, parquet_path: str | None = No
     table.write.mode("overwrite").option("header", True).csv(csv_path)
 
 
+def write_in_order(scores: DataFrame, path: str, position: str = "position"):
+    """Score rows as CSV parts that follow each other in the order of `position`, which is written too."""
+    ordered = scores.select(position, "event_id", "predict").repartitionByRange(position).sortWithinPartitions(position)
+    ordered.write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_json(df: DataFrame, path: str):
     """Small result rows (metrics, weights, settings) as one JSON file."""
     df.coalesce(1).write.mode("overwrite").json(path)
