@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.settings import ensure_checkpoint_folder
+from backtrail.settings import ensure_checkpoint_folder, remove_at_exit
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,21 +23,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     ensure_checkpoint_folder(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    path = remove_at_exit(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended already; the cluster's own clean-up takes the folder
-        pass
-
-
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(parts))
