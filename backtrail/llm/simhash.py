@@ -5,7 +5,7 @@ most n bits. Split into n + 2 blocks, such a pair agrees in at least two of them
 key of two whole blocks. Fingerprints that share a key are compared; a key with more
 than `BUCKET` fingerprints is not compared at once but split again: the bits that the key leaves open
 are cut into n + 2 blocks in their turn, and so on until at most eight bits are open, when a key
-holds at most 256 fingerprints. No pair is lost.
+holds at most 256 different fingerprints. No pair is lost.
 
 A second fingerprint of wider shingles can be asked to agree as well: the first one finds the pairs, the
 second one verifies them. Near copies whose wide shingles agree by 0.8 differ in up to a dozen bits there,
@@ -152,7 +152,9 @@ def close_links(prints: DataFrame, bits: int = 2, second_bits: int = 0) -> DataF
         if len(next(iter(ways.values()))[1]) <= 8:  # at most 256 fingerprints to a key
             cold.append(rows)
             break
-        hot = cut(rows.groupBy("path", "key").count().filter(F.col("count") > BUCKET).select("path", "key"), "hot")
+        # splitting a key can part different fingerprints only
+        told_apart = rows.select("path", "key", "fp").distinct() if second_bits else rows
+        hot = cut(told_apart.groupBy("path", "key").count().filter(F.col("count") > BUCKET).select("path", "key"), "hot")
         if hot.isEmpty():
             cold.append(rows)
             break

@@ -44,7 +44,7 @@ def test_quality_stage(spark, stages):
 
 def test_near_duplicates_stage(stages):
     docs = texts(stages[1])
-    close = lambda x, y: (x[0] ^ y[0]).bit_count() <= 3 and (x[1] ^ y[1]).bit_count() <= 12
+    close = lambda x, y: (x[0] ^ y[0]).bit_count() <= 4 and (x[1] ^ y[1]).bit_count() <= 14
     groups = plain_components([(i, (plain_fingerprint(t, 1), plain_fingerprint(t, 5))) for i, t in docs.items()], close=close)
     assert texts(stages[2]) == {i: t for i, t in docs.items() if groups[i] == i}
     assert len(set(docs.values())) >= len(texts(stages[2])) > 0.7 * len(docs)

@@ -79,8 +79,8 @@ def test_blocks_find_every_close_pair(spark, monkeypatch, bucket, bits):
 def test_second_fingerprint_verifies(spark):
     docs = read(spark, "/root/testdata/sf0.01", "documents").filter("length(text) > 400")
     rows = [(r.doc_id, plain_fingerprint(r.text, 1), plain_fingerprint(r.text, 5)) for r in docs.collect()]
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, width=1, bits=3, second=5, second_bits=12).collect()}
-    close = lambda x, y: (x[0] ^ y[0]).bit_count() <= 3 and (x[1] ^ y[1]).bit_count() <= 12
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, width=1, bits=4, second=5, second_bits=14).collect()}
+    close = lambda x, y: (x[0] ^ y[0]).bit_count() <= 4 and (x[1] ^ y[1]).bit_count() <= 14
     assert got == plain_components([(i, (a, b)) for i, a, b in rows], close=close)
 
 
