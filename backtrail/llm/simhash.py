@@ -5,7 +5,8 @@ most n bits. Split into n + 2 blocks, such a pair agrees in at least two of them
 key of two whole blocks. Fingerprints that share a key are compared; a key with more
 than `BUCKET` fingerprints is not compared at once but split again: the bits that the key leaves open
 are cut into n + 2 blocks in their turn, and so on until at most eight bits are open, when a key
-holds at most 256 different fingerprints. No pair is lost.
+holds at most 256 different fingerprints. Where a key still has more than `ROWS` rows, as many second fingerprints
+can share few first ones, its rows are dealt over pairs of blocks, so that no task holds a whole key. No pair is lost.
 
 A second fingerprint of wider shingles can be asked to agree as well: the first one finds the pairs, the
 second one verifies them. Near copies whose wide shingles agree by 0.8 differ in up to a dozen bits there,
@@ -29,6 +30,7 @@ from backtrail.llm.graph import components, forest
 from backtrail.operators.rows import one_per_key
 
 BUCKET = 256  # fingerprints of one key that are compared with each other
+ROWS = 4096  # rows of one key that are compared in one place; more are dealt over pairs of blocks
 CHUNK = 1 << 16  # shingles whose bits are unpacked at once
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -103,14 +105,36 @@ def _keyed(rows: DataFrame, ways: dict[int, tuple[int, list[int]]]) -> DataFrame
     return rooted.select("fp", "second", "id", "path").mapInArrow(run, "fp bigint, second bigint, id bigint, path bigint, key bigint")
 
 
+def _sizes(rows: DataFrame, second_bits: int) -> DataFrame:
+    """(path, key, prints, n) of keys with more than `BUCKET` different fingerprints or more than `ROWS` rows."""
+    each = rows.groupBy("path", "key", "fp").agg(F.count("*").alias("n")) if second_bits else rows.select("path", "key", F.lit(1).alias("n"))
+    counted = each.groupBy("path", "key").agg(F.count("*").alias("prints"), F.sum("n").alias("n"))
+    return cut(counted.filter((F.col("prints") > BUCKET) | (F.col("n") > ROWS)), "sizes")
+
+
+def _dealt(rows: DataFrame, crowded: DataFrame) -> DataFrame:
+    """`rows` with a column pair: rows of one path, key and pair are compared with each other.
+
+    crowded: (path, key, n) of keys with more than `ROWS` rows. Such a key has n / `ROWS` blocks; a row of block i is in
+    the pairs of i with each other block. Any two rows of the key meet in at least one pair of blocks.
+    """
+    parts = crowded.select("path", "key", F.ceil(F.col("n") / ROWS).alias("parts"))
+    own = F.pmod(F.xxhash64("fp", "second", "id"), F.col("parts"))
+    pair = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
+    columns = ["fp", "second", "id", "path", "key"]
+    spread = rows.join(parts, ["path", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    spread = spread.filter(F.col("own") != F.col("other")).select(*columns, pair.alias("pair"))
+    return rows.join(crowded, ["path", "key"], "left_anti").select(*columns, F.lit(0).cast("bigint").alias("pair")).unionByName(spread)
+
+
 def _linked(bits: int, second_bits: int):
-    """Compare the rows of each key, which follow each other; gives links that connect what is linked."""
+    """Compare the rows of each key and pair, which follow each other; gives links that connect what is linked."""
 
-    def links(path, key, fp, second, ids):
+    def links(path, key, pair, fp, second, ids):
         a, b = [], []
         step = 1
         while step < len(fp):
-            same = np.flatnonzero((key[step:] == key[:-step]) & (path[step:] == path[:-step]))
+            same = np.flatnonzero((key[step:] == key[:-step]) & (path[step:] == path[:-step]) & (pair[step:] == pair[:-step]))
             if not len(same):
                 break
             apart, wide = (np.bitwise_count((x[same] ^ x[same + step]).view(np.uint64)) for x in (fp, second))
@@ -123,11 +147,11 @@ def _linked(bits: int, second_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None
         for batch in batches:
-            now = [batch.column(c).to_numpy() for c in ("path", "key", "fp", "second", "id")]
+            now = [batch.column(c).to_numpy() for c in ("path", "key", "pair", "fp", "second", "id")]
             if left is not None:
                 now = [np.concatenate(x) for x in zip(left, now)]
-            # the last key may go on in the next batch; a key holds few rows
-            ends = np.flatnonzero((now[1][1:] != now[1][:-1]) | (now[0][1:] != now[0][:-1]))
+            # the last pair of blocks may go on in the next batch; it holds few rows
+            ends = np.flatnonzero((now[1][1:] != now[1][:-1]) | (now[0][1:] != now[0][:-1]) | (now[2][1:] != now[2][:-1]))
             whole = int(ends[-1]) + 1 if len(ends) else 0
             left = [x[whole:] for x in now]
             a, b = links(*(x[:whole] for x in now))
@@ -149,21 +173,22 @@ def close_links(prints: DataFrame, bits: int = 2, second_bits: int = 0) -> DataF
     ways = {100 + i: w for i, w in enumerate(_masks(list(range(64)), bits))}  # a sub-way's number goes on with two digits
     rows, cold = _keyed(prints, ways), []
     while True:
+        sizes = _sizes(rows, second_bits)
+        crowded = sizes.filter(F.col("n") > ROWS).select("path", "key", "n")
         if len(next(iter(ways.values()))[1]) <= 8:  # at most 256 fingerprints to a key
-            cold.append(rows)
+            cold.append(_dealt(rows, crowded))
             break
         # splitting a key can part different fingerprints only
-        told_apart = rows.select("path", "key", "fp").distinct() if second_bits else rows
-        hot = cut(told_apart.groupBy("path", "key").count().filter(F.col("count") > BUCKET).select("path", "key"), "hot")
+        hot = sizes.filter(F.col("prints") > BUCKET).select("path", "key")
         if hot.isEmpty():
-            cold.append(rows)
+            cold.append(_dealt(rows, crowded))
             break
-        cold.append(rows.join(hot, ["path", "key"], "left_anti").select("fp", "second", "id", "path", "key"))
+        cold.append(_dealt(rows.join(hot, ["path", "key"], "left_anti").select("fp", "second", "id", "path", "key"), crowded))
         reached = {r.path for r in hot.select("path").distinct().collect()}
         ways = {100 * p + i: (m | n, o) for p, (m, still) in ways.items() if p in reached for i, (n, o) in enumerate(_masks(still, bits))}
         rows = cut(_keyed(rows.join(hot, ["path", "key"], "left_semi"), ways), "rekeyed")
     every = reduce(DataFrame.unionByName, cold)
-    dealt = every.repartition("path", "key").sortWithinPartitions("path", "key")
+    dealt = every.repartition("path", "key", "pair").sortWithinPartitions("path", "key", "pair")
     return dealt.mapInArrow(_linked(bits, second_bits), "a bigint, b bigint")
 
 

@@ -84,6 +84,23 @@ def test_second_fingerprint_verifies(spark):
     assert got == plain_components([(i, (a, b)) for i, a, b in rows], close=close)
 
 
+def test_no_task_holds_a_crowded_key(spark, monkeypatch):
+    """Few first fingerprints with many second ones: dealt over pairs of blocks, and every close pair is linked."""
+    monkeypatch.setattr(simhash, "ROWS", 20)
+    rng = np.random.default_rng(7)
+    base = [int(x) for x in rng.integers(0, 1 << 62, 12)]
+    seconds = {x ^ sum(1 << int(b) for b in rng.choice(62, rng.integers(1, 9), replace=False)) for x in base for _ in range(25)}
+    rows = [(i, (i % 3, x)) for i, x in enumerate(sorted(seconds))]
+    df = spark.createDataFrame([(a, b, i) for i, (a, b) in rows], "fp long, second long, id long")
+    close = lambda x, y: (x[0] ^ y[0]).bit_count() <= 4 and (x[1] ^ y[1]).bit_count() <= 8
+    roots = {r.node: r.root for r in simhash.components(simhash.close_links(df, 4, 8)).collect()}
+    assert {i: roots.get(i, i) for i, _ in rows} == plain_components(rows, close=close)
+    ways = {100 + i: w for i, w in enumerate(simhash._masks(list(range(64)), 4))}
+    keyed = simhash._keyed(df, ways)
+    dealt = simhash._dealt(keyed, simhash._sizes(keyed, 8))
+    assert dealt.groupBy("path", "key", "pair").count().agg(F.max("count")).first()[0] < 4 * simhash.ROWS < len(rows)
+
+
 def test_corner_rows(spark):
     long = "word another third " * 60_000
     rows = [(4, None), (2, ""), (9, " \n"), (7, "one"), (8, "ONE"), (1, long), (3, long), (3, long), (None, long), (5, "a b"), (5, "completely different words here now")]
