@@ -147,6 +147,24 @@ def lifted(
     return _named(with_rates(table, target, least=1.0), names)
 
 
+def raised(
+    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], doc_id: str = "doc_id", text: str = "text", domain: str = "domain", sample: int = 20_000,
+) -> tuple[DataFrame, list[str]]:
+    """Like `mix`, but no document goes: rates are at least 1, and the total grows until no domain has more than its share.
+
+    The total is the least at which each domain with a weight has a target of at least what it has. Tokens of domains
+    without a weight stay as they are; with no domain of a weight every rate is 1.
+    """
+    table, names = _posterior_table(docs, labelled, doc_id, text, domain, sample)
+    now = _tokens(table, len(names))
+    share = np.array([weights.get(n, 0.0) for n in names])
+    some = share > 0
+    target = now.copy()
+    if some.any():
+        target[some] = share[some] * (now[some] / share[some]).max()
+    return _named(with_rates(table, target, least=1.0), names), names
+
+
 def _posterior_table(docs, labelled, doc_id, text, domain, sample) -> tuple[DataFrame, list[str]]:
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     known = labelled.select(F.col(doc_id).alias("doc_id"), F.col(domain).alias("domain"))

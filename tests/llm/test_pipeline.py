@@ -71,6 +71,15 @@ def test_mixing_stage_keeps_every_document(stages):
     assert Counter(set(after)) == Counter(set(before)) and len(before) <= len(after) < 2 * len(before)
 
 
+def test_mixing_stage_brings_a_large_domain_down(spark, tmp_path):
+    schema = read(spark, FOLDER, "documents").schema
+    rows = [(i, f"{'calm' if i % 10 < 7 else 'rude'} words of document", "en", "s", 20) for i in range(400)]
+    spark.createDataFrame([(i, 1, int(i % 10 < 7)) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    after = cp.mixing_to_targets(spark, spark.createDataFrame(rows, schema), str(tmp_path)).collect()
+    calm = sum(r.text.startswith("calm") for r in after) / len(after)
+    assert {r.doc_id for r in after} == set(range(400)) and abs(calm - 0.06 / 0.86) < 0.04
+
+
 def test_packing_stage(stages):
     tokenizer = Tokenizer.from_file(packing.default_vocabulary())
     rows = stages[5].collect()
