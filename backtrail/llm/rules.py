@@ -85,12 +85,13 @@ def frequent_lines(each: DataFrame, least: int, share: float) -> DataFrame:
 
 def rules(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source",
-    least_words: int = 50, most_repeated: float = 0.5, most_documents: int = 20, most_share: float = 0.01, left_over: float = 0.3,
+    least_words: int = 50, most_repeated: float = 0.5, most_documents: int = 20, most_share: float = 0.0, left_over: float = 0.3,
 ) -> DataFrame:
     """doc_id, host, `COUNTS`, removed_lines, removed_words, base_failed, kept for every row of `docs`.
 
-    A line is removed when more than `most_documents` documents and more than `most_share` of the documents
-    of one host have it; lines are compared with A-Z lower-cased and white space collapsed.
+    A line is removed when more than `most_documents` documents of one host have it, whatever the host's size;
+    `most_share` asks for more than that share of its documents besides. Lines are compared with A-Z lower-cased and
+    white space collapsed.
     A document fails when it has under `least_words` words, when more than `most_repeated` of its
     words lie in repeated three-word windows, or when less than `left_over` of its words are left.
     A null text has no words. A null host is one host. Repeated rows come back as often as they

@@ -49,6 +49,15 @@ def test_equals_plain_count(spark):
     assert got(docs, **limits) == plain(rows, **limits)
 
 
+def test_a_large_host_loses_the_same_lines_as_a_small_one(spark):
+    shared = "This line is in twenty-one documents of its host"
+    rows = [(1000 * h + i, f"{shared}\nown words {h} {i}" if i < 21 else f"own words {h} {i}", f"host{h}") for h, size in enumerate((100, 4000)) for i in range(size)]
+    rows += [(9000 + i, f"Only twenty documents have it\nown {i}" if i < 20 else f"own {i}", "host2") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = rules.rules(docs).filter("removed_lines > 0").groupBy("host").count().collect()
+    assert {r.host: r["count"] for r in found} == {"host0": 21, "host1": 21}
+
+
 def test_corner_rows(spark):
     common = "This line   is Shared\n"
     rows = [(i, common * 2 + f"own words {i} é 𝄞 # <b>", "a" if i % 2 else None) for i in range(12)]
