@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from backtrail.llm.common import hash_share
+from backtrail.llm.common import cut, hash_share
 
 DIMENSIONS = 4096
 LETTER = regex.compile(r"\p{L}")
@@ -90,8 +90,8 @@ class LanguageModel:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", clusters: int = 4, sample: int = 300, floor_share: float = 0.01) -> LanguageModel:
     """Learn from all rows of `docs` that have a language and a letter.
 
-    `sample` is the bound of rows per language that are clustered, chosen by a hash of the text;
-    document frequencies are those of all rows. `floor_share` of a language's sample lies below
+    `sample` is about how many different texts per language are clustered, chosen by a hash of the text, each once
+    however many copies it has; all of them where there are no more. Document frequencies are those of all rows. `floor_share` of a language's sample lies below
     its least cosine. With no such rows the model knows no language.
     """
     named = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("_body"), F.col(lang).cast("string").alias("_lang"))
@@ -120,14 +120,29 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", clusters: int =
         return LanguageModel([], np.zeros((0, DIMENSIONS)), np.zeros(0), idf)
 
     spark = docs.sparkSession
-    rates = spark.createDataFrame([(k, sample / v) for k, v in rows.items()], "_lang string, _rate double")
-    chosen = named.join(F.broadcast(rates), "_lang").filter(hash_share([F.col("_body")]) < F.col("_rate"))
+    hashed = named.withColumn("_hash", F.xxhash64("_body"))
+
+    def lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([has_letter(b.as_py()) for b in batch.column(2)], pa.bool_())).select(["_lang", "_hash"])
+
+    # copies of a text are one text
+    distinct = hashed.select("_lang", "_hash", "_body").mapInArrow(lettered, "_lang string, _hash bigint").distinct()
+    rates = cut(distinct.groupBy("_lang").agg((F.lit(float(sample)) / F.count("*")).alias("_rate")), "rates")
+    chosen = hashed.join(F.broadcast(rates), "_lang").filter(hash_share([F.col("_body")]) < F.col("_rate"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()  # of the sample, which is bounded
         for batch in batches:
-            keep = [i for i, b in enumerate(batch.column(1)) if has_letter(b.as_py())]
-            found = [np.sqrt(ngrams(batch.column(1)[i].as_py())).astype(np.float32) for i in keep]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), pa.array(found, pa.list_(pa.float32()))], ["lang", "tf"])
+            keep = []
+            for i, (name, code, body) in enumerate(zip(*batch.columns)):
+                place = (name.as_py(), code.as_py())
+                if place not in seen and has_letter(body.as_py()):
+                    seen.add(place)
+                    keep.append(i)
+            found = [np.sqrt(ngrams(batch.column(2)[i].as_py())).astype(np.float32) for i in keep]
+            some = [c.take(pa.array(keep, pa.int32())) for c in batch.columns[:2]]
+            yield pa.RecordBatch.from_arrays([*some, pa.array(found, pa.list_(pa.float32()))], ["lang", "hash", "tf"])
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
         rows = unit(np.stack(frame["tf"].to_numpy()).astype(float) * idf)
@@ -136,7 +151,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", clusters: int =
         floor = float(np.quantile((rows @ centroids.T).max(axis=1), floor_share)) - 1e-9
         return pd.DataFrame({"lang": frame["lang"].iloc[0], "floor": floor, "centroid": list(centroids)})
 
-    sampled = chosen.select("_lang", "_body").mapInArrow(vectors, "lang string, tf array<float>")
+    sampled = chosen.select("_lang", "_hash", "_body").mapInArrow(vectors, "lang string, hash bigint, tf array<float>").dropDuplicates(["lang", "hash"])
     found = sampled.groupBy("lang").applyInPandas(cluster, "lang string, floor double, centroid array<double>").collect()
     found = sorted(found, key=lambda r: (r.lang, r.centroid))
     return LanguageModel([r.lang for r in found], np.array([r.centroid for r in found]), np.array([r.floor for r in found]), idf)

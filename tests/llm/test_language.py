@@ -29,6 +29,18 @@ def test_ngrams_of_pieces_equal_those_of_the_whole(monkeypatch):
     assert whole.sum() == (len(text) + 1) + len(text)
 
 
+def test_a_language_of_copies_has_centroids(spark):
+    """Few texts with many copies each: all of the texts are learnt, each once."""
+    words = "der hund und die katze mit dem ball auf einem baum".split()
+    copied = [" ".join(np.random.default_rng(i).permutation(words)) for i in range(4)]
+    rows = [(i, copied[i % 4], "de") for i in range(4000)] + [(5000 + i, f"the cat and the dog with that ball in tree {i}", "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = language.fit(docs, sample=50)
+    assert model.languages.count("de") == 4 and 1 <= model.languages.count("en") <= 4
+    found = language.identify(docs, model).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in found} == {"de": 4000, "en": 400}
+
+
 def test_corner_rows(spark):
     rows = [(i, "the cat and the dog with that " * 3, "en") for i in range(8)] + [(i + 10, "der hund und die katze mit dem " * 3, "de") for i in range(8)]
     rows += [(30, None, "en"), (31, "", "de"), (32, "123 !?", None), (33, "x", None), (34, "a" * 3_000_000, None), (None, "und die katze", None), (5, rows[5][1], "en"), (35, "ⅷ ½", None), (36, "漢字", None)]
