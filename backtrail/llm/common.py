@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.settings import ensure_checkpoint_folder, remove_at_exit
+from backtrail.settings import ensure_checkpoint_folder, remove_at_exit, remove_folder
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,7 +25,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     ensure_checkpoint_folder(spark)
     path = remove_at_exit(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_to = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables of `cut` that nothing reads any more: what was made of them is written itself."""
+    for table in tables:
+        remove_folder(table.sparkSession, table._cut_to)
 
 
 def fold(doc_id: str, parts: int) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.llm import chat, embeddings, language, mixing, packing, quality, rules, secret_scan, simhash, toxicity
+from backtrail.llm import chat, codes, embeddings, language, mixing, packing, quality, rules, secret_scan, simhash, toxicity
 from backtrail.llm.common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,10 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_chat_preferences", chat.SQL)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return chat.preferences(*chat.swapped_answers(read(spark, folder, "conversations")))
+
+
+@query("op11_vector_code_compression", codes.SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    found, books = codes.compressed(read(spark, folder, "embeddings"))
+    digest = F.lit(codes.sha256_of(books)).alias("codebooks_sha256")
+    return found.select("vec_id", codes.code_text("codes").alias("code"), "error", "label_error", digest)
