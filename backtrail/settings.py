@@ -48,13 +48,17 @@ def ensure_checkpoint_folder(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def remove_at_exit(spark: SparkSession, path: str) -> str:
     """Remove a folder when the driver's Python ends; gives the path back."""
 
     def remove() -> None:
         try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            remove_folder(spark, path)
         except Exception:  # the session has ended already; the cluster's own clean-up takes the folder
             pass
 
