@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backtrail.llm import chat, codes, embeddings, language, mixing, packing, quality, rules, secret_scan, simhash, toxicity
+from backtrail.llm import chat, codes, embeddings, language, licenses, mixing, packing, phrases, quality, rules, secret_scan, simhash, toxicity
 from backtrail.llm.common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,22 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     found, books = codes.compressed(read(spark, folder, "embeddings"))
     digest = F.lit(codes.sha256_of(books)).alias("codebooks_sha256")
     return found.select("vec_id", codes.code_text("codes").alias("code"), "error", "label_error", digest)
+
+
+@query("op12_license_scans", licenses.sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(read(spark, folder, "documents"))
+    starts, base = F.transform("places", lambda p: p["word"]), F.transform("places", lambda p: p["label"])
+    method, contained = F.transform("blocks", lambda b: b["label"]), F.transform("blocks", lambda b: b["containment"])
+    listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        listed(base).alias("base_labels"), listed(F.concat(base, method)).alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max(contained), F.lit(0.0))).alias("score"),
+        F.size("blocks").cast("bigint").alias("n_blocks"),
+    )
+
+
+@query("op13_phrase_collocations", phrases.SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(read(spark, folder, "documents"))
