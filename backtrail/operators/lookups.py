@@ -76,32 +76,24 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     """Shuffled lookup in which the rows of a heavy key are dealt to several tasks.
 
     The single right-hand row of a heavy key is repeated once per salt; other keys use salt 0. Rows of
-    `left` with a null in the key match nothing and take no part in the shuffle. Set `unique` where a
-    key has few rows of `left` too, as an event id has: then nothing is counted.
+    `left` with a null in the key match nothing; where they are many they are dealt over the salts like those of a heavy key. There
+    is one join, so `left` is built once. Set `unique` where a key has few rows of `left` too, as an event id has: then
+    nothing is counted.
     """
-    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    if not unique and any(left.schema[k].nullable for k in keys):
-        joined = _spread(left.filter(known), right, keys, how)
-        if how in ("inner", "left_semi"):
-            return joined
-        return joined.unionByName(left.filter(~known), allowMissingColumns=True)
-    return left.join(right, keys, how) if unique else _spread(left, right, keys, how)
-
-
-def _spread(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     spark = left.sparkSession
-    heavy = heavy_keys(left, keys, setting(spark, "backtrail.rows.per.task"))
+    heavy = None if unique else heavy_keys(left, keys, setting(spark, "backtrail.rows.per.task"))
     if heavy is None:
         return left.join(right, keys, how)
     salts = setting(spark, "backtrail.salts")
+    # the partition number keeps exact copies of one row from sharing a salt
+    deal = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in _hashable(left)]), F.lit(salts)).cast("int")
+    lost = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     flagged = heavy.withColumn("_heavy", F.lit(True))
     if fits_broadcast(heavy):
         flagged = F.broadcast(flagged)
-    # the partition number keeps exact copies of one row from sharing a salt
-    deal = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in _hashable(left)]), F.lit(salts)).cast("int")
     salted_left = (
         left.join(flagged, keys, "left")
-        .withColumn(SALT, F.when(F.col("_heavy"), deal).otherwise(F.lit(0)))
+        .withColumn(SALT, F.when(F.col("_heavy") | lost, deal).otherwise(F.lit(0)))
         .drop("_heavy")
     )
     every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
