@@ -26,21 +26,28 @@ OUTSIDE_SHARES = (0.55, 0.65, 0.75, 0.85, 0.90, 0.95)
 
 
 def rank_normalised(df: DataFrame, scores: list[str], suffix: str = "_rank", extra: int = 1, by: list[str] | None = None) -> DataFrame:
-    """Average rank of each score divided by n + extra (extra 0 for the plain share)."""
-    keys, rows = by or [], df
-    for score in scores:
-        counts = rows.groupBy(*keys, score).agg(F.count("*").alias("_n"))
-        running = History.of(counts, keys, [score]).past(_below=Past.sum("_n")).frame()
-        rank = F.col("_below") + (F.col("_n") + 1) / 2.0
-        ranks = running.select(*keys, score, rank.alias(f"{score}{suffix}"))
-        df = spread_join(df, ranks, [*keys, score])
+    """Average rank of each score divided by n + extra (extra 0 for the plain share).
+
+    All scores are ranked in one order by (name, value): different combinations of scores are counted, then different
+    values of each score, and the ranks come back in one join of the rows, whatever the number of scores.
+    """
+    keys = by or []
+    whole = F.struct(*[F.col(c) for c in [*keys, *scores]])  # equal even where a score is null
+    tuples = df.groupBy(whole.alias("_whole")).agg(F.count("*").alias("_n"))
+    named = [F.struct(F.lit(i).alias("_name"), F.col(f"_whole.{c}").cast("double").alias("_value")) for i, c in enumerate(scores)]
+    long = tuples.select("_whole", *[F.col(f"_whole.{k}").alias(k) for k in keys], "_n", F.inline(F.array(*named)))
+    counts = long.groupBy(*keys, "_name", "_value").agg(F.sum("_n").alias("_n"))
+    running = History.of(counts, [*keys, "_name"], ["_value"]).past(_below=Past.sum("_n")).frame()
+    ranks = running.select(*keys, "_name", "_value", (F.col("_below") + (F.col("_n") + 1) / 2.0).alias("_rank"))
+    told = spread_join(long.drop("_n"), ranks, [*keys, "_name", "_value"], "inner")
+    wide = told.groupBy("_whole").agg(*[F.max(F.when(F.col("_name") == i, F.col("_rank"))).alias(f"{c}{suffix}") for i, c in enumerate(scores)])
+    ranked = spread_join(df.withColumn("_whole", whole), wide, ["_whole"]).drop("_whole")
     if keys:
-        df = lookup(df, rows.groupBy(*keys).agg(F.count("*").alias("_total")), keys)
+        ranked = lookup(ranked, df.groupBy(*keys).agg(F.count("*").alias("_total")), keys)
         total = F.col("_total")
     else:
-        total = only_row(rows.agg(F.count("*").alias("total")))["total"]
-    named = {f"{s}{suffix}": F.col(f"{s}{suffix}") / (total + extra) for s in scores}
-    return df.withColumns(named).drop("_total")
+        total = only_row(df.agg(F.count("*").alias("total")))["total"]
+    return ranked.withColumns({f"{c}{suffix}": F.col(f"{c}{suffix}") / (total + extra) for c in scores}).drop("_total")
 
 
 def spearman(df: DataFrame, scores: list[str]) -> DataFrame:

@@ -144,3 +144,19 @@ def test_feature_table_has_the_sampled_rows_and_all_columns(spark):
         for r in queries()[name](spark, FOLDER).collect():
             if r["event_id"] in rows:
                 assert rows[r["event_id"]][column] == pytest.approx(r[column], abs=1e-5)
+
+
+def test_ranks_read_the_rows_as_often_for_five_scores_as_for_one(spark):
+    def parts(k):
+        rows = spark.range(50).select("id", *[(F.xxhash64("id", F.lit(i)) % 7).cast("double").alias(f"s{i}") for i in range(k)])
+        plan = s.rank_normalised(rows, [f"s{i}" for i in range(k)])._jdf.queryExecution().executedPlan().toString()
+        return plan.count("Range ("), plan.count("Exchange")
+
+    assert parts(5) == parts(1)
+
+
+def test_ranks_with_null_scores_and_groups(spark):
+    rows = [(1, "a", 0.5, None), (2, "a", 0.5, 2.0), (3, "a", None, 1.0), (4, "b", 0.1, 2.0), (5, None, 0.3, 9.0)]
+    got = {r.id: (r.s_rank, r.t_rank) for r in s.rank_normalised(spark.createDataFrame(rows, "id int, g string, s double, t double"), ["s", "t"], by=["g"], extra=0).collect()}
+    # nulls have no rank, but come first in the order of the others
+    assert got == {1: (2.5 / 3, None), 2: (2.5 / 3, 1.0), 3: (None, 2 / 3), 4: (1.0, 1.0), 5: (None, None)}
