@@ -13,11 +13,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from backtrail.llm.common import cut, hash_share, row_key
+from backtrail.llm.common import cut, hash_share, release, row_key
 
 PLACES = 1 << 16  # hashed words; also the bound of the model's rows
 NAMES = 64  # bound of the domains
 WRITTEN = 6  # steps after which the rates are written
+PATIENCE = 10  # steps that must have lowered the residual
 
 
 def words(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -76,21 +77,14 @@ def posteriors(docs: DataFrame, names: list[str], priors: list[float], chances:
     return shares.select("doc_id", "_id", "_text", "n_rows", "tokens", *[(F.col(f"e{i}") / whole).alias(f"p{i}") for i in range(len(names))])
 
 
-def _rate(steps: list[np.ndarray], least: float) -> Column:
-    """The rate after some projected steps: r <- max(least, r - p . u)."""
-    rate = F.col("rate")
-    for u in steps:
-        move = sum((F.col(f"p{i}") * float(x) for i, x in enumerate(u)), F.lit(0.0))
-        rate = F.greatest(F.lit(float(least)), rate - move)
-    return rate
-
-
-def with_rates(table: DataFrame, target: np.ndarray, least: float = 0.0, most_steps: int = 60, close: float = 1e-6) -> DataFrame:
+def with_rates(table: DataFrame, target: np.ndarray, least: float = 0.0, close: float = 1e-6, most_steps: int = 2000) -> DataFrame:
     """`table` (n_rows, tokens, p0, p1, ...) with the rates that bring the sums of rate x tokens x posterior nearest to `target`.
 
-    Projected gradient from rate 1, rates staying at least `least`. Rates are measured in units that weigh a
-    document by its tokens, residuals by the inverse of the posteriors' second moments: then the largest curvature
-    is 1, a full step is safe, and with no rate at its bound one is enough. The rates of every few steps are written.
+    Projected gradient from rate 1 with momentum, which starts anew whenever the residual grew; rates stay at least `least`. Rates are
+    measured in units that weigh a document by its tokens, residuals by the inverse of the posteriors' second moments: then the
+    largest curvature is 1, a full step is safe, and with no rate at its bound one is enough. It ends when targets are met
+    within `close` of all tokens, or when `PATIENCE` steps have lowered the residual by less than a thousandth: then rates
+    cannot come nearer. The rates of every few steps are written. Beyond `most_steps` a RuntimeError is raised.
     """
     size = len(target)
     weight = F.col("n_rows") * F.col("tokens")
@@ -100,21 +94,31 @@ def with_rates(table: DataFrame, target: np.ndarray, least: float = 0.0, most_st
     for (i, j), v in zip(pairs, moments):
         second[i, j] = second[j, i] = v or 0.0
     inverse = np.linalg.pinv(second, rcond=1e-10, hermitian=True)
-    current = table.withColumn("rate", F.lit(1.0))
-    steps: list[np.ndarray] = []
-    before = None
-    for _ in range(most_steps):
-        if len(steps) == WRITTEN:
-            current, steps = cut(current.withColumn("rate", _rate(steps, least)), "rates"), []
-        rate = _rate(steps, least)
-        now = np.array([v or 0.0 for v in current.agg(*[F.sum(weight * rate * F.col(f"p{i}")) for i in range(size)]).first()])
-        gap = now - target
-        small = close * max(target.sum(), 1.0)
-        if np.abs(gap).max() <= small or before is not None and np.abs(gap - before).max() <= small:
-            break  # met, or as near as rates can come
-        before = gap
-        steps.append(inverse @ gap)
-    return current.withColumn("rate", _rate(steps, least))
+    small = close * max(target.sum(), 1.0)
+    current, written = table.withColumn("rate", F.lit(1.0)).withColumn("_ahead", F.lit(1.0)), None
+    momentum, costs = 1.0, []
+    for step in range(most_steps + 1):
+        sums = [F.sum(weight * F.col(c) * F.col(f"p{i}")) for c in ("rate", "_ahead") for i in range(size)]
+        found = np.array([v or 0.0 for v in current.agg(*sums).first()])
+        gap, ahead = found[:size] - target, found[size:] - target
+        costs.append(float(gap @ inverse @ gap))
+        stuck = step >= PATIENCE and min(costs[:-PATIENCE]) - min(costs) <= 1e-3 * min(costs[:-PATIENCE])
+        if np.abs(gap).max() <= small or stuck:
+            return current.drop("_ahead")
+        start = "_ahead"
+        if step and costs[-1] > costs[-2]:
+            momentum, start, ahead = 1.0, "rate", gap
+        after = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
+        move = sum((F.col(f"p{i}") * float(u) for i, u in enumerate(inverse @ ahead)), F.lit(0.0))
+        stepped = current.withColumn("_next", F.greatest(F.lit(float(least)), F.col(start) - move))
+        stepped = stepped.withColumn("_ahead", F.col("_next") + float((momentum - 1) / after) * (F.col("_next") - F.col("rate")))
+        current, momentum = stepped.withColumn("rate", F.col("_next")).drop("_next"), after
+        if step % WRITTEN == WRITTEN - 1:
+            before, written = written, cut(current, "rates")
+            current = written
+            if before is not None:
+                release(before)
+    raise RuntimeError(f"rates did not settle in {most_steps} steps")
 
 
 def mix(
@@ -140,7 +144,10 @@ def mix(
 def lifted(
     docs: DataFrame, labelled: DataFrame, floors: dict[str, float], doc_id: str = "doc_id", text: str = "text", domain: str = "domain", sample: int = 20_000,
 ) -> DataFrame:
-    """Like `mix`, but each domain's target is what it has, or its floor as a share of all if that is more; rates are at least 1."""
+    """Like `mix`, but each domain's target is what it has, or its floor as a share of all if that is more; rates are at least 1.
+
+    Nulls, repeated rows and empty tables as in `mix`.
+    """
     table, names = _posterior_table(docs, labelled, doc_id, text, domain, sample)
     now = _tokens(table, len(names))
     target = np.maximum(now, now.sum() * np.array([floors.get(n, 0.0) for n in names]))
@@ -149,11 +156,14 @@ def lifted(
 
 def raised(
     docs: DataFrame, labelled: DataFrame, weights: dict[str, float], doc_id: str = "doc_id", text: str = "text", domain: str = "domain", sample: int = 20_000,
+    most_growth: float = 20.0,
 ) -> tuple[DataFrame, list[str]]:
     """Like `mix`, but no document goes: rates are at least 1, and the total grows until no domain has more than its share.
 
-    The total is the least at which each domain with a weight has a target of at least what it has. Tokens of domains
-    without a weight stay as they are; with no domain of a weight every rate is 1.
+    The total is the least at which each domain with a weight has a target of at least what it has, and no more than `most_growth`
+    times the tokens of these domains: beyond, the largest domains keep more than their share. Tokens of domains
+    without a weight stay as they are; with no domain of a weight every rate is 1. Null and empty texts have no tokens, repeated
+    rows are one row with n_rows, a null id is kept, an empty table gives an empty one. `totals` tells what is met.
     """
     table, names = _posterior_table(docs, labelled, doc_id, text, domain, sample)
     now = _tokens(table, len(names))
@@ -161,7 +171,8 @@ def raised(
     some = share > 0
     target = now.copy()
     if some.any():
-        target[some] = share[some] * (now[some] / share[some]).max()
+        total = min((now[some] / share[some]).max(), most_growth * now[some].sum() / share[some].sum())
+        target[some] = np.maximum(now[some], share[some] * total)
     return _named(with_rates(table, target, least=1.0), names), names
 
 
@@ -196,7 +207,10 @@ def totals(mixed: DataFrame, names: list[str]) -> DataFrame:
 
 
 def sampled_copies(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: str = "mix") -> DataFrame:
-    """`docs` with each row as often as its rate says: the whole part, and once more by a hash with the chance of the rest."""
+    """`docs` with each row as often as its rate says: the whole part, and once more by a hash with the chance of the rest.
+
+    Equal rows share a rate and a chance, so they are copied alike; rows with null ids or texts are rows as others. Empty in, empty out.
+    """
     chance = hash_share([F.col("_id"), F.col("_text"), F.lit(seed)])
     whole = F.floor("rate")
     copies = (whole + (chance < F.col("rate") - whole).cast("int")).cast("int")

@@ -20,26 +20,43 @@ HEX = "[0-9a-f]{24,}"
 GENERIC = "[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "generic")
 LEAST_ASSIGN = 6
+BLOCK = 256  # spans of one text that are gone through at once
 
 SPAN = "struct<start:bigint,rank:int,stop:bigint,value:string>"
 
 
+def _bound(value: Column, use) -> Column:
+    """`use` of a value that is made once, however often and in whatever lambda it is needed."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _spans(text: Column, pattern: str, rank: int, value) -> Column:
     """Leftmost matches that do not overlap, as (start, rank, stop, value) in code points.
 
     The text is cut at the matches only where there is one; a start is the length of what lies
-    before it. Work is quadratic in the matches of one text, not in its length.
+    before it. Lengths are summed in blocks of `BLOCK` matches first, so that a start adds up one block and the sums before it.
     """
     match, rest = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
-    def located(m: Column, r: Column) -> Column:
-        lengths = F.transform(m, lambda x, i: F.length(x) + F.length(F.get(r, i)))
+    none, add = F.lit(0).cast("bigint"), lambda a, n: a + n
 
-        def span(x: Column, i: Column) -> Column:
-            start = F.aggregate(F.slice(lengths, 1, i), F.length(F.get(r, i)).cast("bigint"), lambda a, n: a + n)
-            return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(x)).alias("stop"), value(x).alias("value"))
-
-        return F.transform(m, span)
+    def located(m: Column, r: Column) -> Column:
+        return _bound(F.struct(m.alias("m"), r.alias("r")), lambda a: _bound(
+            F.transform(a["m"], lambda x, i: F.length(x) + F.length(F.get(a["r"], i))), lambda lengths: blocked(a, lengths)
+        ))
+
+    def blocked(a: Column, lengths: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int"))
+        sums = F.transform(blocks, lambda b: F.aggregate(F.slice(lengths, b * BLOCK + 1, BLOCK), none, add))
+        part = lambda c, b: F.slice(c, b * BLOCK + 1, BLOCK)
+        return _bound(sums, lambda before: F.flatten(F.transform(blocks, lambda b: _bound(
+            F.struct(part(a["m"], b).alias("m"), part(a["r"], b).alias("r"), part(lengths, b).alias("lengths"), F.aggregate(F.slice(before, F.lit(1), b), none, add).alias("at")),
+            lambda z: F.transform(z["m"], lambda x, i: span(z, x, i)),
+        ))))
+
+    def span(z: Column, x: Column, i: Column) -> Column:
+        start = z["at"] + F.aggregate(F.slice(z["lengths"], F.lit(1), i), F.length(F.get(z["r"], i)).cast("bigint"), add)
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(x)).alias("stop"), value(x).alias("value"))
 
     return F.when(F.regexp_count(text, F.lit(pattern)) > 0, located(match, rest)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
@@ -55,11 +72,23 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         _spans(body, ASSIGN, 0, lambda x: F.regexp_extract(x, ASSIGN, 2)), lambda s: F.length(s["value"]) >= LEAST_ASSIGN
     )
     base = F.array_sort(F.concat(assign, _spans(body, ACCESS, 1, lambda x: x), _spans(body, HEX, 2, lambda x: x)))
-    mixed = F.filter(
-        _spans(body, GENERIC, 3, lambda x: x),
-        lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])),
-    )
-    return docs.withColumn("base", base).withColumn("generic", mixed)
+    mixed = F.filter(_spans(body, GENERIC, 3, lambda x: x), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
+    some = docs.withColumn("base", base).withColumn("generic", mixed)
+    return some.withColumn("generic", F.when((F.size("base") > 0) & (F.size("generic") > 0), _apart(F.col("generic"), F.col("base"))).otherwise(F.col("generic")))
+
+
+def _apart(spans: Column, base: Column) -> Column:
+    """The spans that no base span touches. Base spans are taken in blocks with their reach, so that a span looks into few of them."""
+    meets = lambda s: lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])
+
+    def blocks(all_base: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all_base) - 1) / BLOCK).cast("int"))
+        cut_up = F.transform(numbers, lambda b: F.slice(all_base, b * BLOCK + 1, BLOCK))
+        return F.transform(cut_up, lambda s: F.struct(F.get(s, F.lit(0))["start"].alias("start"), F.array_max(F.transform(s, lambda x: x["stop"])).alias("stop"), s.alias("spans")))
+
+    return _bound(F.struct(spans.alias("spans"), _bound(base, blocks).alias("blocks")), lambda a: F.filter(
+        a["spans"], lambda s: ~F.exists(a["blocks"], lambda b: meets(s)(b) & F.exists(b["spans"], meets(s)))
+    ))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -77,9 +106,9 @@ def scan(
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, base (array of spans) and spans (base and live generic ones).
 
-    A span is (start, rank, stop, live, repositories, owners); rank is the place in `KINDS`. A value is live
-    unless more than `most_repositories` repositories or more than `most_owners` owners hold it: then
-    it is a copied example. Base spans are always in `spans`, generic ones only where live.
+    A span is (start, rank, stop, live, repositories, owners); rank is the place in `KINDS`. A value of
+    one owner is live in however many repositories it lies; one of several owners is a copied example if more than `most_owners`
+    of them, or more than `most_repositories` repositories, hold it. Base spans are always in `spans`, generic ones only where live.
     Repeated rows come back as often as they are given; a null id is kept, a null text has no
     spans. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
@@ -94,7 +123,7 @@ def scan(
     held = rows.filter(F.size("found") > 0)
     each = held.select("_id", "_text", "repo", "owner", F.explode("found").alias("s")).select("_id", "_text", "repo", "owner", "s.*")
     counted = cut(ownership(each), "ownership")
-    live = (F.col("repositories") <= most_repositories) & (F.col("owners") <= most_owners)
+    live = (F.col("owners") <= 1) | (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
     judged = each.drop("repo", "owner").join(counted, "hash").withColumn("live", live)
     span = F.struct("start", "rank", "stop", "live", "repositories", "owners")
     per_row = judged.groupBy("_id", "_text").agg(F.array_sort(F.collect_set(span)).alias("judged"))
@@ -116,7 +145,9 @@ def written(spans: str) -> Column:
 def masked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mask: str = "[secret]", **limits) -> DataFrame:
     """`docs` with every live span of `text` replaced by `mask`, and n_chars, where present, counted anew.
 
-    Only texts with a span move: the others keep their place. Columns are those of `docs`.
+    Only texts with a span move: the others keep their place. Columns are those of `docs`. Null texts stay null, rows with a
+    null id are masked as others, repeated rows come back as often as given, a null n_chars of a text with a span
+    becomes its length. Empty in, empty out.
     """
     found = scan(docs, doc_id, text, **limits)
     live = F.filter("spans", lambda s: s["live"])
@@ -166,7 +197,7 @@ cand AS (SELECT * FROM base UNION ALL SELECT * FROM g WHERE NOT EXISTS (
   SELECT 1 FROM base b WHERE b.rid = g.rid AND b.start < g.stop AND g.start < b.stop)),
 held AS (SELECT value, count(DISTINCT coalesce(doc_id, -1)) AS repos, count(DISTINCT coalesce(source, '')) AS owners
   FROM cand JOIN d USING (rid) GROUP BY value),
-judged AS (SELECT cand.*, repos <= {most_repositories} AND owners <= {most_owners} AS live FROM cand JOIN held USING (value)),
+judged AS (SELECT cand.*, owners <= 1 OR (owners <= {most_owners} AND repos <= {most_repositories}) AS live FROM cand JOIN held USING (value)),
 per AS (SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
   string_agg({line}, ',' ORDER BY start, rank) FILTER (rank < 3) AS base_spans,
   string_agg({line}, ',' ORDER BY start, rank) FILTER (rank < 3 OR live) AS spans,

@@ -63,3 +63,27 @@ def test_masked(spark):
     want = [(1, "é [secret] end", "a", 14), (1, "é [secret] end", "a", 14), (2, "clean text", "a", 10), (3, None, "b", None), (None, "[secret] [secret]x", "b", 18)]
     assert got == sorted(want, key=str)
     assert secret_scan.masked(docs).schema == docs.schema
+    assert secret_scan.masked(docs.limit(0)).count() == 0
+
+
+def test_owners_are_judged_first(spark):
+    """21 copies in one source are the owner's own; in two sources they are an example, and so are five owners."""
+    rows = [(i, f"token=only{0}owner", "a", 0) for i in range(21)] + [(100 + i, "token=shared1two", f"s{i % 2}", 0) for i in range(21)]
+    rows += [(200 + i, "token=shared2two", f"s{i % 2}", 0) for i in range(20)] + [(300 + i, "token=five1owners", f"s{i}", 0) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    live = {r.doc_id: r.spans[0].live for r in secret_scan.scan(docs).collect()}
+    assert live == {i: i < 100 or 200 <= i < 300 for i, *_ in rows}
+    assert {r.doc_id for r in secret_scan.masked(docs).collect() if "[secret]" in r.text} == {i for i, keep in live.items() if keep}
+
+
+def test_many_spans_in_one_text(spark):
+    """60,000 tokens of three kinds in one text, in seconds."""
+    import time
+
+    text = " ".join(f"token=abc{i}def {HEXES}{i % 10} Zm9vYmFyQmF6UXV4{i:08d}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string").withColumn("source", F.lit("s"))
+    began = time.time()
+    (row,) = secret_scan.candidates(docs).select("base", F.size("generic").alias("n")).collect()
+    took = time.time() - began
+    assert [(s.start, s.rank, s.stop) for s in row.base] == plain_base(text) and row.n == 20_000
+    assert took < 60, took
