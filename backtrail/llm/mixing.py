@@ -18,6 +18,7 @@ from backtrail.llm.common import cut, hash_share, release, row_key
 PLACES = 1 << 16  # hashed words; also the bound of the model's rows
 NAMES = 64  # bound of the domains
 WRITTEN = 6  # steps after which the rates are written
+LONG = 60  # steps after which gains are held against the first residual
 PATIENCE = 10  # steps that must have lowered the residual
 
 
@@ -83,8 +84,8 @@ def with_rates(table: DataFrame, target: np.ndarray, least: float = 0.0, close:
     Projected gradient from rate 1 with momentum, which starts anew whenever the residual grew; rates stay at least `least`. Rates are
     measured in units that weigh a document by its tokens, residuals by the inverse of the posteriors' second moments: then the
     largest curvature is 1, a full step is safe, and with no rate at its bound one is enough. It ends when targets are met
-    within `close` of all tokens, or when `PATIENCE` steps have lowered the residual by less than a thousandth: then rates
-    cannot come nearer. The rates of every few steps are written. Beyond `most_steps` a RuntimeError is raised.
+    within `close` of all tokens, or when `PATIENCE` steps have lowered the squared residual by less than a thousandth, after `LONG`
+    steps by less than a ten-thousandth of what it was at first: then rates hardly come nearer. The rates of every few steps are written. Beyond `most_steps` a RuntimeError is raised.
     """
     size = len(target)
     weight = F.col("n_rows") * F.col("tokens")
@@ -102,7 +103,8 @@ def with_rates(table: DataFrame, target: np.ndarray, least: float = 0.0, close:
         found = np.array([v or 0.0 for v in current.agg(*sums).first()])
         gap, ahead = found[:size] - target, found[size:] - target
         costs.append(float(gap @ inverse @ gap))
-        stuck = step >= PATIENCE and min(costs[:-PATIENCE]) - min(costs) <= 1e-3 * min(costs[:-PATIENCE])
+        gain = min(costs[:-PATIENCE], default=float("inf")) - min(costs)
+        stuck = gain <= 1e-3 * min(costs) or step >= LONG and gain <= 1e-4 * costs[0]
         if np.abs(gap).max() <= small or stuck:
             return current.drop("_ahead")
         start = "_ahead"
