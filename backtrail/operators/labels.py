@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from backtrail.operators.history import History, Past
-from backtrail.operators.lookups import lookup
+from backtrail.operators.history import BLOCK, History, Past
+from backtrail.operators.lookups import fits_broadcast, lookup
+from backtrail.settings import ensure_checkpoint_folder
 from backtrail.sources.tables import prior_source
 
 PRIOR_KEYS = (
@@ -109,18 +110,59 @@ def prior_table(events: DataFrame, labels: DataFrame, keys: list[str], cutoff: s
 
     The rates of all rows are drawn towards 1/200, the share among labelled rows towards 1/2.
     """
+    source = lookup(prior_source(events, keys, cutoff), labels.select("event_id", "target"), "event_id", unique=True)
+    return _prior_rates(source.groupBy(*keys).agg(*_prior_counts()), keys)
+
+
+def _prior_counts() -> list[Column]:
+    return [F.count("*").alias("n"), F.count("target").alias("lbl"), F.coalesce(F.sum("target"), F.lit(0)).alias("red")]
+
+
+def smoothed_rates(n: Column, lbl: Column, red: Column) -> dict[str, Column]:
+    return {
+        "red_rate_all": (red + 1.0) / (n + 200.0),
+        "labeled_rate_all": (lbl + 1.0) / (n + 200.0),
+        "red_share_labeled": (red + 1.0) / (lbl + 2.0),
+    }
+
+
+def _prior_rates(sums: DataFrame, keys: list[str]) -> DataFrame:
     name = "x".join(keys)
+    rates = smoothed_rates(F.col("n"), F.col("lbl"), F.col("red"))
+    return sums.select(*keys, F.col("n").alias(f"prior_{name}_cnt"), *[v.alias(f"prior_{name}_{k}") for k, v in rates.items()])
+
+
+def prior_sums(events: DataFrame, labels: DataFrame, key_sets: list[tuple[str, ...]], cutoff: str | None = None) -> DataFrame:
+    """Rows, labelled rows and red rows per value of every key set, from one scan and one label join.
+
+    One row per key set (`_set`, its place in the list) and value; columns of other key sets are null. Rows are
+    repeated per key set inside the task and summed there, so that only sums are shuffled. The table is
+    checkpointed, as each key set is read from it on its own.
+    """
+    ensure_checkpoint_folder(events.sparkSession)
+    keys = _key_columns(key_sets)
     source = lookup(prior_source(events, keys, cutoff), labels.select("event_id", "target"), "event_id", unique=True)
-    sums = source.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.count("target").alias("lbl"), F.coalesce(F.sum("target"), F.lit(0)).alias("red")
-    )
-    return sums.select(
-        *keys,
-        F.col("n").alias(f"prior_{name}_cnt"),
-        ((F.col("red") + 1.0) / (F.col("n") + 200.0)).alias(f"prior_{name}_red_rate_all"),
-        ((F.col("lbl") + 1.0) / (F.col("n") + 200.0)).alias(f"prior_{name}_labeled_rate_all"),
-        ((F.col("red") + 1.0) / (F.col("lbl") + 2.0)).alias(f"prior_{name}_red_share_labeled"),
-    )
+    sums = source.groupingSets([list(k) for k in key_sets], *keys).agg(*_prior_counts(), F.grouping_id().alias("_set"))
+    places = F.create_map(*[F.lit(v) for i, k in enumerate(key_sets) for v in (_grouping_id(keys, k), i)])
+    return sums.withColumn("_set", places[F.col("_set")]).checkpoint()
+
+
+def prior_tables(events: DataFrame, labels: DataFrame, key_sets: list[tuple[str, ...]], cutoff: str | None = None) -> dict[tuple[str, ...], DataFrame]:
+    """`prior_table` of every key set, all from one scan."""
+    return _split_sums(prior_sums(events, labels, key_sets, cutoff), key_sets)
+
+
+def _split_sums(sums: DataFrame, key_sets: list[tuple[str, ...]]) -> dict[tuple[str, ...], DataFrame]:
+    return {k: _prior_rates(sums.filter(F.col("_set") == i), list(k)) for i, k in enumerate(key_sets)}
+
+
+def _key_columns(key_sets: list[tuple[str, ...]]) -> list[str]:
+    return list(dict.fromkeys(c for keys in key_sets for c in keys))
+
+
+def _grouping_id(columns: list[str], grouped: tuple[str, ...]) -> int:
+    """The number Spark gives a grouping set: one bit per column, first column highest, set where left out."""
+    return sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in grouped)
 
 
 def attach_priors(df: DataFrame, priors: dict[tuple[str, ...], DataFrame]) -> DataFrame:
@@ -129,17 +171,55 @@ def attach_priors(df: DataFrame, priors: dict[tuple[str, ...], DataFrame]) -> Da
     return df
 
 
+def attach_all_priors(
+    df: DataFrame, events: DataFrame, labels: DataFrame, key_sets: list[tuple[str, ...]], cutoff: str | None = None
+) -> DataFrame:
+    """Priors of every key set, measured together: broadcast when all of them fit, else one lookup each."""
+    sums = prior_sums(events, labels, key_sets, cutoff)
+    tables = _split_sums(sums, key_sets)
+    if not fits_broadcast(sums):
+        return attach_priors(df, tables)
+    for keys, table in tables.items():
+        df = df.join(F.broadcast(table), list(keys), "left")
+    return df
+
+
 def running_priors(events: DataFrame, order: list[str], keys: tuple[str, ...] = PRIOR_KEYS) -> DataFrame:
     """Red share of the earlier labelled rows of any customer with the same key value.
 
-    Few key values hold all rows, so the rows are one global history in time order: beyond one
-    task's rows it is cut into time blocks that all keys share.
+    Few key values hold all rows, so the rows are one global history in time order, which beyond one
+    task's rows is cut into time blocks that all keys share. Per block and value present in it the sums of
+    earlier blocks become one narrow opening row; rows and opening rows meet in one shuffle by block,
+    which serves the windows of all keys.
     """
-    red = {f"_red_{key}": Past.sum("is_red_lbl", key) for key in keys}
-    labelled = {f"_lab_{key}": Past.sum("is_labeled_fb", key) for key in keys}
-    rows = History.of(events, [], order).past(**red, **labelled).frame()
-    rates = {f"prior_{key}_red_rate": (F.col(f"_red_{key}") + 0.25) / (F.col(f"_lab_{key}") + 2.0) for key in keys}
-    return rows.withColumns(rates).drop(*red, *labelled)
+    h = History.of(events, [], order)
+    sets = {key: _grouping_id([BLOCK, *keys], (BLOCK, key)) for key in keys}
+    if h.heavy is None:
+        rows = h.light.withColumns({BLOCK: F.lit(0), "_set": F.lit(None).cast("long")}).repartition(1)
+    else:
+        rows = h.heavy.withColumn("_set", F.lit(None).cast("long"))
+        rows = rows.unionByName(_opening_rows(h.heavy, keys), allowMissingColumns=True).repartition(BLOCK)
+    rates, sums = {}, {}
+    for key, number in sets.items():
+        past = Window.partitionBy(BLOCK, key).orderBy(F.col("_set").isNull(), *order).rowsBetween(Window.unboundedPreceding, -1)
+        counted = F.col("_set").isNull() | (F.col("_set") == number)
+        for name, flag in (("red", "is_red_lbl"), ("lab", "is_labeled_fb")):
+            sums[f"_{name}_{key}"] = F.coalesce(F.sum(F.when(counted, F.col(flag))).over(past), F.lit(0))
+        rates[f"prior_{key}_red_rate"] = (F.col(f"_red_{key}") + 0.25) / (F.col(f"_lab_{key}") + 2.0)
+    own = rows.withColumns(sums).filter(F.col("_set").isNull())
+    return own.withColumns(rates).drop(BLOCK, "_set", *sums)
+
+
+def _opening_rows(blocks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Per block, key and value in that block: red and labelled rows of the value in all earlier blocks."""
+    narrow = blocks.select(BLOCK, *keys, "is_red_lbl", "is_labeled_fb")
+    sums = narrow.groupingSets([[BLOCK, key] for key in keys], BLOCK, *keys).agg(
+        F.sum("is_red_lbl").alias("_red"), F.sum("is_labeled_fb").alias("_lab"), F.grouping_id().alias("_set")
+    )
+    earlier = Window.partitionBy("_set", *keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(
+        BLOCK, "_set", *keys, F.sum("_red").over(earlier).alias("is_red_lbl"), F.sum("_lab").over(earlier).alias("is_labeled_fb")
+    ).filter("is_labeled_fb > 0")
 
 
 def novelty_risks(df: DataFrame) -> DataFrame:

@@ -123,9 +123,10 @@ _CROSS = {"cross_type_mcc": ["event_type_nm", "mcc_code_i"], "cross_mcc_channel"
     f"SELECT '{n}' AS cross_name, CAST({a} AS VARCHAR) || '_x_' || CAST({b} AS VARCHAR) AS value, count(*) AS n, round((COALESCE(sum(target), 0) + 1.0) / (count(*) + 200.0), 9) AS red_rate_all FROM src GROUP BY {a}, {b}"
     for n, (a, b) in _CROSS.items()))
 def _cross_priors(spark, folder):
-    out, rows, labels = None, events(spark, folder), bank_labels(spark, folder)
+    out = None
+    tables = y.prior_tables(events(spark, folder), bank_labels(spark, folder), [tuple(k) for k in _CROSS.values()], CUTOFF)
     for n, keys in _CROSS.items():
-        t, name = y.prior_table(rows, labels, keys, CUTOFF), "x".join(keys)
+        t, name = tables[tuple(keys)], "x".join(keys)
         t = t.select(F.lit(n).alias("cross_name"), F.concat_ws("_x_", *[F.col(k).cast("string") for k in keys]).alias("value"),
                      F.col(f"prior_{name}_cnt").alias("n"), fixed(f"prior_{name}_red_rate_all", 9).alias("red_rate_all"))
         out = t if out is None else out.unionByName(t)
@@ -156,17 +157,30 @@ def _tags(spark, folder):
        + " ".join(f"LEFT JOIN ({_prior_sql([k])}) USING ({k})" for k in y.PRIOR_KEYS))
 def _attached(spark, folder):
     rows, labels = events(spark, folder), bank_labels(spark, folder)
-    priors = {(k,): y.prior_table(rows, labels, [k], CUTOFF) for k in y.PRIOR_KEYS}
-    return y.attach_priors(rows, priors).select("event_id", *[fixed(f"prior_{k}_red_rate_all", 9).alias(f"prior_{k}_red_rate_all") for k in y.PRIOR_KEYS])
+    return y.attach_all_priors(rows, rows, labels, [(k,) for k in y.PRIOR_KEYS], CUTOFF).select("event_id", *[fixed(f"prior_{k}_red_rate_all", 9).alias(f"prior_{k}_red_rate_all") for k in y.PRIOR_KEYS])
 
 
 @query("pair_priors_attached", "J4", sql=f"WITH {_SOURCE} SELECT event_id, " + ", ".join(f"prior_{a}x{b}_red_share_labeled" for a, b in y.PRIOR_PAIRS)
        + " FROM ev " + " ".join(f"LEFT JOIN ({_prior_sql([a, b])}) USING ({a}, {b})" for a, b in y.PRIOR_PAIRS))
 def _pairs_attached(spark, folder):
     rows, labels = events(spark, folder), bank_labels(spark, folder)
-    priors = {p: y.prior_table(rows, labels, list(p), CUTOFF) for p in y.PRIOR_PAIRS}
     names = [f"prior_{a}x{b}_red_share_labeled" for a, b in y.PRIOR_PAIRS]
-    return y.attach_priors(rows, priors).select("event_id", *[fixed(n, 9).alias(n) for n in names])
+    return y.attach_all_priors(rows, rows, labels, list(y.PRIOR_PAIRS), CUTOFF).select("event_id", *[fixed(n, 9).alias(n) for n in names])
+
+
+_ALL_SETS = [*[(k,) for k in y.PRIOR_KEYS], *y.PRIOR_PAIRS]
+
+
+@query("prior_tables_of_all_keys", "A3", "A4", "A5", "J2", sql=f"WITH {_SOURCE} " + " UNION ALL ".join(
+    f"SELECT '{'x'.join(k)}' AS key, {' || chr(44) || '.join(f'CAST({c} AS VARCHAR)' for c in k)} AS value, prior_{'x'.join(k)}_cnt AS cnt, "
+    + ", ".join(f"prior_{'x'.join(k)}_{c} AS {c}" for c in ("red_rate_all", "labeled_rate_all", "red_share_labeled")) + f" FROM ({_prior_sql(list(k))})" for k in _ALL_SETS))
+def _all_tables(spark, folder):
+    """Every single and paired key from one scan of the events and one label join."""
+    sums = y.prior_sums(events(spark, folder), bank_labels(spark, folder), _ALL_SETS, CUTOFF)
+    named = F.array(*[F.lit("x".join(k)) for k in _ALL_SETS])[F.col("_set")]
+    value = F.array(*[F.concat_ws(",", *[F.col(c).cast("string") for c in k]) for k in _ALL_SETS])[F.col("_set")]
+    rates = y.smoothed_rates(F.col("n"), F.col("lbl"), F.col("red"))
+    return sums.select(named.alias("key"), value.alias("value"), F.col("n").alias("cnt"), *[fixed(v, 9).alias(c) for c, v in rates.items()])
 
 
 def _running(key):
