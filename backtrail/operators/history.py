@@ -260,9 +260,13 @@ class History:
         self, columns: Callable[[WindowSpec], dict[str, Column]], before: int = 0, after: int = 0
     ) -> History:
         """Add columns computed over frames that reach at most `before` rows back and `after` ahead."""
+        return self.staged(lambda df, keys: df.withColumns(columns(Window.partitionBy(*keys).orderBy(*self.order))), before, after)
+
+    def staged(self, steps: Callable[[DataFrame, list[str]], DataFrame], before: int = 0, after: int = 0) -> History:
+        """Apply steps that look at most `before` rows back and `after` ahead; they get the rows and the columns that part them."""
         light = self.light
         if light is not None:
-            light = light.withColumns(columns(Window.partitionBy(*self.entity).orderBy(*self.order)))
+            light = steps(light, list(self.entity))
         heavy = self.heavy
         if heavy is not None:
             size = max(setting(heavy.sparkSession, "backtrail.rows.per.task"), before + after + 1)
@@ -277,9 +281,8 @@ class History:
                 )
             )
             spread = numbered.withColumn("_home", chunk).withColumn("_chunk", F.explode(homes))
-            window = Window.partitionBy(*self.entity, "_chunk").orderBy(*self.order)
             heavy = (
-                spread.withColumns(columns(window))
+                steps(spread, [*self.entity, "_chunk"])
                 .filter(F.col("_chunk") == F.col("_home"))
                 .drop("_rn", "_home", "_chunk")
             )

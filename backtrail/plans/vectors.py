@@ -154,6 +154,43 @@ def _pool_vectors(spark, folder):
     return h.frame().select("event_id", *[fixed(F.col(f"embedding_{n}")[i], 5).alias(f"mean_{n}_{i}") for n in (3, 10) for i in range(64)])
 
 
+_OK = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) = 64"
+_MASKS = {"past": "true", "telemetry": "operating_system_type <> -1", "session": "session_id > 0"}
+
+
+def _context_sql(mask, n):
+    """Pooled components of one mask and size, as whole ten-thousandths in text."""
+    part, frame = "customer_id, i", f"ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING"
+    if mask == "session":
+        part, frame = "customer_id, session_id, i", f"RANGE BETWEEN {n} PRECEDING AND 1 PRECEDING"
+    over = f"OVER (PARTITION BY {part} ORDER BY pos {frame})"
+    met = f"CASE WHEN {'session_id > 0' if mask == 'session' else 'true'} THEN count(CASE WHEN {mask}_mask THEN x END) {over} ELSE 0 END"
+    text = lambda e: f"string_agg(CAST(CAST(floor(({e}) * 10000 + 0.5) AS BIGINT) AS VARCHAR), ',' ORDER BY i)"
+    return f"""SELECT event_id, '{mask}' AS mask, {n} AS size, any_value(met) / {float(n)} AS share, {text('m')} AS mean,
+      {text('CASE WHEN met > 0 THEN x - m ELSE 0 * x END')} AS diff, {text('CASE WHEN met > 0 THEN x * m ELSE 0 * x END')} AS prod
+      FROM (SELECT event_id, i, x, met, CASE WHEN met > 0 THEN s / met ELSE 0.0 END AS m FROM
+        (SELECT event_id, i, x, {met} AS met, sum(CASE WHEN {mask}_mask THEN x END) {over} AS s FROM long)) GROUP BY 1"""
+
+
+@query("pooled_vectors_by_mask", "W38", "W39", sql=f"""WITH v AS (SELECT event_id, customer_id, session_id, embedding, {_OK} AS ok, {", ".join(f"{c} AS {n}_mask" for n, c in _MASKS.items())}, row_number() OVER ({{c}}) AS pos
+      FROM ev JOIN embeddings ON vec_id = event_id % (SELECT count(*) FROM embeddings)),
+    long AS (SELECT * EXCLUDE (embedding, ok), CASE WHEN ok THEN CAST(embedding[i] AS DOUBLE) END AS x FROM v, range(1, 65) t(i)) """
+       + " UNION ALL ".join(_context_sql(mask, n) for mask in _MASKS for n in sq.HISTORY_SIZES))
+def _vector_context(spark, folder):
+    """Twelve rows an event: three masks at four sizes, all 64 components of mean, difference and product."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    n = only_row(vectors.agg(F.count("*").alias("n")))["n"]
+    rows = events(spark, folder).select("event_id", "customer_id", "sec", "session_id", "operating_system_type", (F.col("event_id") % n).alias("vec_id")).join(vectors, "vec_id")
+    masks = {"past": F.lit(True), "telemetry": F.col("operating_system_type") != -1}
+    pooled = sq.pool_vector_context(customers(rows), "embedding", 64, masks).frame()
+    whole = lambda c: _text(F.transform(c, lambda v: F.floor(v * 10000 + 0.5)))
+    each = F.array(*[
+        F.struct(F.lit(mask).alias("mask"), F.lit(size).alias("size"), F.col(f"{mask}_{size}_share").alias("share"),
+                 *[whole(f"embedding_{mask}_{size}_{k}").alias(k) for k in ("mean", "diff", "prod")])
+        for mask in _MASKS for size in sq.HISTORY_SIZES])
+    return pooled.select("event_id", F.inline(each))
+
+
 @query("sequence_segments", "W41", sql="""WITH p AS (SELECT customer_id, sec, period, row_number() OVER ({c}) - 1 AS pos, count(*) OVER (PARTITION BY customer_id) AS total FROM ev),
     b AS (SELECT customer_id, CAST(floor(pos / 256.0) AS BIGINT) AS block, min(pos) AS start, max(pos) + 1 AS stop, max(sec) AS last, any_value(total) AS total, bool_or(period = 'train') AS wanted FROM p GROUP BY 1, 2)
     SELECT customer_id, block, greatest(start - 128, 0) AS context_start, start, stop AS "end",
