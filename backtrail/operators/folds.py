@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from backtrail.functions import measures as m
 from backtrail.operators.history import History, Past
 from backtrail.operators.joins import only_row
-from backtrail.operators.lookups import lookup
+from backtrail.operators.lookups import fits_broadcast, lookup
+from backtrail.settings import ensure_checkpoint_folder
 
 
 def thin_class(df: DataFrame, of_class: Column, share: float, seed: int = 0) -> DataFrame:
@@ -157,6 +158,43 @@ def encode(df: DataFrame, fit: DataFrame, columns: list[str], unknown: int = 1)
     return df
 
 
+def first_sightings(df: DataFrame, columns: list[str], time: str) -> DataFrame:
+    """(column, value, first): when each value of each column was first seen, from one pass over the rows.
+
+    The columns share a type. Values are folded in the task that reads them, so the shuffle takes different values only.
+    Nulls are no values. The table is checkpointed, as the codes of each column are read from it.
+    """
+    ensure_checkpoint_folder(df.sparkSession)
+    long = df.select(time, *columns).unpivot([time], list(columns), "column", "value").filter("value IS NOT NULL")
+    return long.groupBy("column", "value").agg(F.min(time).alias("first")).checkpoint()
+
+
+def fold_codes(sightings: DataFrame, borders: dict[str, str], unknown: int = 1) -> DataFrame:
+    """(column, value, one code per fold): a fold knows the values first seen before its border, numbered in ascending order."""
+    known = {fold: F.col("first") < F.lit(border).cast("timestamp") for fold, border in borders.items()}
+    h = History.of(sightings, "column", ["value"]).past(**{f"_n_{f}": Past.sum(k.cast("long")) for f, k in known.items()})
+    codes = [F.when(k, F.col(f"_n_{f}") + unknown + 1).otherwise(unknown).alias(f) for f, k in known.items()]
+    return h.frame().select("column", "value", *codes)
+
+
+def encode_folds(df: DataFrame, fit: DataFrame, columns: list[str], time: str, borders: dict[str, str], unknown: int = 1) -> DataFrame:
+    """`encode` of all columns for all folds at once: adds {column}_code_{fold}.
+
+    borders: fold -> time before which rows of `fit` count. The rows of `fit` are read once, whatever the columns and folds; the
+    codes are broadcast when all of them fit, else each column is a lookup. A null is unknown.
+    """
+    codes = fold_codes(first_sightings(fit, columns, time), borders, unknown).checkpoint()
+    small = fits_broadcast(codes)
+    for column in columns:
+        names = {fold: f"{column}_code_{fold}" for fold in borders}
+        own = codes.filter(F.col("column") == column).select(
+            F.col("value").cast(df.schema[column].dataType).alias(column), *[F.col(f).alias(n) for f, n in names.items()]
+        )
+        df = df.join(F.broadcast(own), column, "left") if small else lookup(df, own, column)
+        df = df.withColumns({n: F.coalesce(n, F.lit(unknown)) for n in names.values()})
+    return df
+
+
 def unknown_rates(encoded: DataFrame, columns: list[str], unknown: int = 1, one_hot_up_to: int = 8) -> DataFrame:
     """Per column the rate of unknown codes, its cardinality and whether to one-hot it."""
     report = encoded.agg(

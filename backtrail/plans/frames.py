@@ -343,6 +343,20 @@ def _encode_train(spark, folder):
     return coded.select("event_id", *[f"{c}_code" for c in _ENC], *[(F.col(c) + 1).alias(f"{c}_shifted") for c in _ENC])
 
 
+_FOLD_BORDERS = {"a": "2024-01-02", "b": "2024-01-05", "c": "2024-01-20"}
+
+
+@query("category_codes_of_all_folds", "M9", "M10", sql="SELECT event_id, " + ", ".join(
+    f"COALESCE(v_{c}_{f}.code, 1) AS {c}_code_{f}" for c in _ENC for f in _FOLD_BORDERS) + " FROM ev " + " ".join(
+    f"LEFT JOIN (SELECT {c}, row_number() OVER (ORDER BY {c}) + 1 AS code FROM (SELECT DISTINCT {c} FROM ev WHERE {c} IS NOT NULL AND event_ts < TIMESTAMP '{b}')) v_{c}_{f} ON v_{c}_{f}.{c} = ev.{c}"
+    for c in _ENC for f, b in _FOLD_BORDERS.items()))
+def _encode_folds(spark, folder):
+    """All columns for three folds from one pass over the rows that are learnt from."""
+    rows = events(spark, folder)
+    coded = fd.encode_folds(rows, rows, list(_ENC), "event_ts", _FOLD_BORDERS)
+    return coded.select("event_id", *[f"{c}_code_{f}" for c in _ENC for f in _FOLD_BORDERS])
+
+
 @query("unknown_rate_and_mode", "M9", "M11", sql=f"WITH {_VOCAB} " + " UNION ALL ".join(
     f"""SELECT '{c}' AS feature, round(avg(CASE WHEN {c} IN (SELECT {c} FROM fit) THEN 0.0 ELSE 1.0 END), 6) AS unk_rate, count(DISTINCT CASE WHEN {c} IN (SELECT {c} FROM fit) THEN {c} END) AS known_values,
     CASE WHEN count(DISTINCT CASE WHEN {c} IN (SELECT {c} FROM fit) THEN {c} END) + 1 <= 15 THEN 'one_hot' ELSE 'embedding' END AS mode FROM ev""" for c in _ENC))
