@@ -1,8 +1,9 @@
 """Average precision of every weighting of some scores, without a table of rows times weightings.
 
 A positive's threshold needs two counts: the positives and the rows at or above it. Positives are few and every
-task holds them; rows are packed into blocks, and a task counts one block for a group of weightings, by sorting
-the blended scores of the block. What is shuffled is one count per weighting, positive and block.
+task holds them; rows are packed into blocks, and the task of a group of weightings reads all blocks one after another,
+sorts the blended scores of each and adds up the counts. What is shuffled is one copy of the scores per group; counts
+stay in their task, and there are as many groups as its memory for them calls for.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from backtrail.settings import setting
 
 BLOCK_ROWS = 1 << 19
+TOGETHER = 1 << 21  # rows that a task sorts at once
+HELD_BYTES = 400 << 20  # counts that a task holds
+MOST_UINT32 = (1 << 32) - 1
 
 
 def blended(scores: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -57,35 +60,48 @@ def search_blocks(rows: DataFrame, heads: list[str], target: str, weightings: np
     if some.count() > most:
         return None
     good = np.array([list(r) for r in positives.collect()], float).reshape(-1, len(heads))
-    groups = max(1, min(len(weightings), 4 * spark.sparkContext.defaultParallelism))
+    held = max(1, HELD_BYTES // (4 * max(1, len(good))))  # weightings whose counts one task can hold
+    groups = max(1, min(len(weightings), max(4 * spark.sparkContext.defaultParallelism, -(-len(weightings) // held))))
 
     def thresholds(i: int) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(blended(good, weightings[i]), return_counts=True)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, group in zip(batch.column(0), batch.column(1)):
-                scores = np.frombuffer(block.as_py(), "<f8").reshape(-1, len(heads))
-                for i in range(group.as_py(), len(weightings), groups):
-                    values = np.sort(blended(scores, weightings[i]))
-                    above = len(values) - np.searchsorted(values, thresholds(i)[0], "left")
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([above], pa.list_(pa.int64()))], ["id", "above"])
-
-    def added(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"id": [frame["id"].iloc[0]], "above": [np.sum(np.stack(frame["above"].to_list()), axis=0)]})
-
-    def precision(frame: pd.DataFrame) -> pd.DataFrame:
-        i = int(frame["id"].iloc[0])
-        if not len(good):
-            return pd.DataFrame({"id": [i], "ap": [None]}).astype({"ap": "float64"})
-        n = thresholds(i)[1].astype(float)
-        reached = np.cumsum(n[::-1])[::-1]
-        return pd.DataFrame({"id": [i], "ap": [float((n * reached / added(frame)["above"].iloc[0]).sum() / n.sum())]})
+    def precision(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, np.ndarray] = {}  # rows at or above each threshold, by weighting
+        seen = 0
+        for scores, own in joined_blocks(batches, len(heads), groups, len(weightings)):
+            seen += len(scores)
+            for i in own:
+                values, marks = np.sort(blended(scores, weightings[i])), thresholds(i)[0]
+                so_far = above.pop(i, None)
+                if so_far is None:
+                    so_far = np.zeros(len(marks), np.uint32)
+                if seen > MOST_UINT32 and so_far.dtype == np.uint32:
+                    so_far = so_far.astype(np.int64)
+                so_far += (len(values) - np.searchsorted(values, marks, "left")).astype(so_far.dtype)
+                above[i] = so_far
+        for i in sorted(above):
+            n = thresholds(i)[1].astype(float)
+            reached = np.cumsum(n[::-1])[::-1]
+            ap = float((n * reached / above.pop(i)).sum() / n.sum()) if len(n) else None
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([ap], pa.float64())], ["id", "ap"])
 
     each = packed(rows, heads).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    counted = each.repartition(groups, "group").mapInArrow(count, "id int, above array<bigint>")
-    some_sums = counted.withColumn("part", F.spark_partition_id() % 64).groupBy("id", "part").applyInPandas(added, "id int, above array<bigint>")
-    return some_sums.groupBy("id").applyInPandas(precision, "id int, ap double")
+    return each.repartitionById(groups, F.col("group")).mapInArrow(precision, "id int, ap double")
+
+
+def joined_blocks(batches: Iterator[pa.RecordBatch], width: int, groups: int, many: int) -> Iterator[tuple[np.ndarray, range]]:
+    """Blocks (block, group) of one group put together to about `TOGETHER` rows, with the places of the group's weightings."""
+    some, size, own = [], 0, range(0)
+    for batch in batches:
+        for block, group in zip(batch.column(0), batch.column(1)):
+            some.append(np.frombuffer(block.as_buffer(), "<f8").reshape(-1, width))
+            size, own = size + len(some[-1]), range(group.as_py(), many, groups)
+            if size >= TOGETHER:
+                yield np.concatenate(some), own
+                some, size = [], 0
+    if some:
+        yield np.concatenate(some), own
 
 
 def search(df: DataFrame, target: str, heads: list[str], grid: DataFrame, otherwise: Callable[[], DataFrame]) -> DataFrame:
