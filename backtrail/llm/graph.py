@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from backtrail.llm.common import cut
+from backtrail.llm.common import cut, forget_shuffles, release
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,7 +35,8 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn: every node links its larger neighbours to its smallest
     one, then its smaller ones. The smallest neighbours are folded on the map side and written first,
     so the join of a node with very many links has two plain shuffles, which Spark splits when they
-    are skewed. Nothing is collected but a count and a checksum of the links per round. Rows with a
+    are skewed. Nothing is collected but a count and a checksum of the links per round; the tables and shuffles
+    of a round are removed after it, so that the disk holds those of one round. Rows with a
     null end and links of a node with itself are no links. Empty in, empty out.
     """
     ends = [F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")]
@@ -44,13 +45,16 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(star)
     while state[0]:
         both = star.select(F.col("hi").alias("x"), F.col("lo").alias("y")).union(star.select(F.col("lo").alias("x"), F.col("hi").alias("y")))
-        least = cut(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("lo"), F.least("x", "m").alias("m")), "least")
-        large = star.join(least, "lo").select("hi", F.col("m").alias("lo"))
+        first = cut(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("lo"), F.least("x", "m").alias("m")), "least")
+        large = star.join(first, "lo").select("hi", F.col("m").alias("lo"))
         # the smaller neighbours of a node: its own, and those that the large star gave it
         large = cut(large.distinct(), "large")
         least = cut(large.groupBy("hi").agg(F.min("lo").alias("m")), "least")
         rest = large.join(least, "hi").filter(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        star = cut(least.select("hi", F.col("m").alias("lo")).union(rest).distinct(), "links")
+        before, star = star, cut(least.select("hi", F.col("m").alias("lo")).union(rest).distinct(), "links")
+        release(before, first, large, least)
+        del before, both, first, large, least, rest
+        forget_shuffles(star.sparkSession)
         after = _state(star)
         if after == state:
             break

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from backtrail.llm import shingles, simhash
+from backtrail.llm.graph import components
+from backtrail.settings import ensure_checkpoint_folder
 
 KIND = "doc_id long, text string"
 
@@ -89,3 +91,29 @@ def test_very_long_text(spark):
     rows = [(1, " ".join(long)), (2, " ".join(long[:-3000])), (3, " ".join(long[60_000:])), (4, "short")]
     got = {r.doc_id: r.component_id for r in shingles.near_duplicates(spark.createDataFrame(rows, KIND)).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def tables_left(spark):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jsc.sc().getCheckpointDir().get())
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    return {s.getPath().getName() for s in found}
+
+
+def test_rounds_of_components_leave_one_table(spark):
+    ensure_checkpoint_folder(spark)
+    before = tables_left(spark)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(9)], "a bigint, b bigint")
+    roots = components(chain)
+    assert [name.rsplit("-", 1)[0] for name in tables_left(spark) - before] == ["links"]
+    assert {tuple(r) for r in roots.collect()} == {(i, 0) for i in range(1, 10)}
+
+
+def test_near_duplicates_remove_the_sets_of_shingles(spark):
+    ensure_checkpoint_folder(spark)
+    before = tables_left(spark)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join([*words[:39], f"v{i}"])) for i in range(12)], "doc_id bigint, text string")
+    found = shingles.near_duplicates(docs)
+    kinds = {n.rsplit("-", 1)[0] for n in tables_left(spark) - before}
+    assert not kinds & {"sets", "classes", "prints", "profiles", "groups", "known", "least", "large"}
+    assert {r.component_id for r in found.collect()} == {0}
