@@ -11,11 +11,13 @@ import itertools
 import struct
 import zlib
 from collections.abc import Iterator
+from operator import attrgetter
 from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +28,9 @@ CAPACITY = 4096
 END = 1  # the id after each document
 SHARE = 1 << 21  # tokens that are packed together
 NODES = 5000  # steps of the search in a share after the first dive
-MEMO = 700_000  # words of letters whose ids a Python worker remembers at once
-SPELLINGS = 500_000  # the same for words as they are written, with capitals and marks
+MEMO = 1_000_000  # words of letters whose ids a Python worker remembers at once
+WHOLE = 100_000  # the same for marks, and for words that are not of letters only
+TEXTS = 4 << 20  # bytes of texts whose words are looked up together
 
 
 # -- bin completion -------------------------------------------------------------------------------------
@@ -239,19 +242,24 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+FEW = [struct.Struct(f"<{n}I").pack for n in range(17)]
+
+
 def little(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return FEW[len(ids)](*ids) if len(ids) < len(FEW) else struct.pack(f"<{len(ids)}I", *ids)
 
 
+ID = attrgetter("id")
 LETTERS = byte_letters()
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
 class Words(dict):
-    """Ids of a piece of text without white space, as little-endian 32-bit bytes; remembers up to `SPELLINGS` of them.
+    """Ids of lower-case words of letters, as little-endian 32-bit bytes; None for any other text without white space.
 
-    A word of letters only goes to the model as it is, and marks that follow a word are a word of their
-    own, as the tokenizer splits them; everything else goes through the whole tokenizer.
+    A word of letters only goes to the model as it is, and marks that follow a word are a word of their own, as the tokenizer
+    splits them; everything else goes through the whole tokenizer (`whole`). Remembers up to `MEMO` words: the newer half, and
+    the half before it until it is full.
     """
 
     def __init__(self, path: str):
@@ -259,51 +267,105 @@ class Words(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        core = word.rstrip(MARKS)
-        out = self.known.get(core.lower()) if core else b""
-        if out is None:
-            out = self.letters(core)
-        if out is None:
-            out = self.asked(word)
-        elif len(core) < len(word):
-            marks = word[len(core) :]
-            out += self[marks] if core else self.asked(marks)
-        if len(self) >= SPELLINGS:
+        self.model = self.tokenizer.model
+        self.older: dict[bytes, bytes | None] = {}
+        self.others: dict[bytes, bytes] = {}
+
+    def __missing__(self, low: bytes) -> bytes | None:
+        out = self.older[low] if low in self.older else self.letters(low)
+        if len(self) >= MEMO // 2:
+            self.older = dict(self)
             self.clear()
-        self[word] = out
+        self[low] = out
         return out
 
-    def letters(self, core: bytes) -> bytes | None:
-        """Ids of a word of letters; None if it is something else, or its lower case or composed form is in doubt."""
-        low = core.lower()
-        if low.isalpha():
-            text = low.decode()
-        else:
-            text = core.decode()
+    def letters(self, low: bytes) -> bytes | None:
+        """Ids of a word of letters, A-Z lower-cased; None if it is something else, or its lower case or composed form is in doubt."""
+        text = low.decode()
+        if not low.isalpha():
+            if not low:
+                return low
             if not text.isalpha() or "\u03a3" in text or not is_normalized("NFC", text):
                 return None
             text = text.lower()
             if not text.isalpha():
                 return None
             text = text.encode().decode("latin-1").translate(LETTERS)
-        if len(self.known) >= MEMO:
-            self.known.clear()
-        self.known[low] = out = little([t.id for t in self.tokenizer.model.tokenize(text)])
-        return out
+        return little(list(map(ID, self.model.tokenize(text))))
 
-    def asked(self, word: bytes) -> bytes:
-        return little(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+    def whole(self, word: bytes) -> bytes:
+        """Ids of any text without white space."""
+        if word not in self.others:
+            if len(self.others) >= WHOLE:
+                self.others.clear()
+            self.others[word] = little(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+        return self.others[word]
 
 
 WORDS: dict[str, Words] = {}
 
 
+def as_bytes(texts: pa.Array) -> list[bytes]:
+    return texts.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+
+def strung(units: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of units in the order of `codes`, and how many ids each brings; `units` lie one after the other, `sizes` ids each."""
+    counts = sizes[codes]
+    # from the place of a unit's first id in the result to that among the units
+    shift = (np.cumsum(sizes) - sizes)[codes] - (np.cumsum(counts) - counts)
+    return units[np.arange(counts.sum()) + np.repeat(shift, counts)], counts
+
+
+def spelled_ids(words: Words, spelled: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words as they are written, one after the other, and how many each has."""
+    core = pc.ascii_rtrim(spelled, characters=MARKS.decode())
+    low = pc.ascii_lower(core).dictionary_encode()
+    units = list(map(words.__getitem__, as_bytes(low.dictionary)))
+    first, second = low.indices.to_numpy().astype(np.int64), np.full(len(spelled), len(units))
+    strange = np.array([u is None for u in units], bool)[first]
+    units = [u or b"" for u in units] + [b""]
+    size = pc.binary_length(core).to_numpy()
+    marked = np.flatnonzero((pc.binary_length(spelled).to_numpy() > size) & ~strange)
+    tails = [word[n:] for word, n in zip(as_bytes(spelled.take(pa.array(marked))), size[marked].tolist())]
+    at = {tail: len(units) + i for i, tail in enumerate(dict.fromkeys(tails))}
+    units += map(words.whole, at)
+    second[marked] = np.fromiter(map(at.__getitem__, tails), np.int64, len(tails))
+    first[strange] = len(units) + np.arange(strange.sum())
+    units += map(words.whole, as_bytes(spelled.filter(pa.array(strange))))
+    sizes = np.fromiter(map(len, units), np.int64, len(units)) // 4
+    ids, counts = strung(np.frombuffer(b"".join(units), "<u4"), sizes, np.stack([first, second], 1).ravel())
+    return ids, counts.reshape(-1, 2).sum(1)
+
+
+def all_ids(words: Words, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of whole texts, each followed by the end id, one text after the other, and where each text ends.
+
+    The tokenizer drops white space and never joins over it. Each different word is looked up once.
+    """
+    split = pc.ascii_split_whitespace(texts.fill_null(""))
+    coded = split.flatten().dictionary_encode()
+    ids, sizes = spelled_ids(words, coded.dictionary)
+    after = np.cumsum(pc.list_value_length(split).to_numpy())  # words up to the end of each text
+    codes = np.insert(coded.indices.to_numpy(), after, len(sizes))
+    found, counts = strung(np.append(ids, np.uint32(END)), np.append(sizes, 1), codes)
+    return found, np.cumsum(counts)[after + np.arange(len(after))]
+
+
 def token_ids(words: Words, text: str | None) -> np.ndarray:
-    """The ids of a whole text and the end id. The tokenizer drops white space and never joins over it."""
-    return np.frombuffer(b"".join(map(words.__getitem__, (text or "").encode().split())) + END.to_bytes(4, "little"), "<u4")
+    """The ids of a whole text and the end id."""
+    return all_ids(words, pa.array([text], pa.string()))[0]
+
+
+def slices(texts: pa.Array, most: int = TEXTS) -> Iterator[tuple[int, int]]:
+    """(start, rows) of runs of texts with at most `most` bytes each; a longer text is a run of its own."""
+    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64))
+    start = 0
+    while start < len(size):
+        before = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, before + most, "right")))
+        yield start, end - start
+        start = end
 
 
 def default_vocabulary() -> str:
@@ -328,19 +390,16 @@ def tokenised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capac
         words = WORDS[vocabulary]
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                rows, number, starts, ids = [], [], [], []
-                for row, body in enumerate(some.column(1)):
-                    all_ids = token_ids(words, body.as_py())
-                    for start in range(0, len(all_ids), capacity):
-                        rows.append(row)
-                        number.append(start // capacity)
-                        starts.append(start)
-                        ids.append(all_ids[start : start + capacity])
-                lengths = np.array([len(x) for x in ids], np.int64)
-                values = pa.array(np.concatenate(ids).astype(np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), values)
+            for at, size in slices(batch.column(1)):
+                some = batch.slice(at, size)
+                ids, ends = all_ids(words, some.column(1))
+                tokens = np.diff(ends, prepend=0)
+                pieces = -(-tokens // capacity)
+                rows = np.repeat(np.arange(size), pieces)
+                number = np.arange(len(rows)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                starts = number * capacity
+                lengths = np.minimum(tokens[rows] - starts, capacity)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(uid, uid + len(rows))), some.column(0).take(pa.array(rows)), pa.array(number, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths), lists],
                     names,

@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -104,3 +105,33 @@ def test_corner_rows_in_several_shares(spark, tokenizer, monkeypatch):
         assert sum(n for _, n in places) <= 64 and sorted(places)[0][0] == 0
     assert sum(r[3] for r in found if r[0] == 3) == 20_001
     assert packing.packed(docs.limit(0)).count() == 0
+
+
+def test_a_word_is_split_once_whatever_its_capitals_and_marks(tokenizer, monkeypatch):
+    words, asked = packing.Words(packing.default_vocabulary()), []
+    monkeypatch.setattr(words, "letters", lambda low, real=words.letters: asked.append(low) or real(low))
+    texts = [None, "Word, word. WORD?! \t", "ÄRA ära, Ära word", "x1 word x1; _x", ""]
+    ids, ends = packing.all_ids(words, pa.array(texts))
+    plain = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END] for t in texts]
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == plain
+    assert sorted(filter(None, asked)) == sorted([b"word", "ära".encode(), "Ära".encode(), b"x1", b"_x"])
+
+
+def test_ids_stay_right_when_words_are_forgotten(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 4)
+    monkeypatch.setattr(packing, "WHOLE", 2)
+    words = packing.Words(packing.default_vocabulary())
+    texts = ["one two three, four five one", "six! one two x9 x8 x9?", "three 1 2 3 one"] * 3
+    ids, ends = packing.all_ids(words, pa.array(texts))
+    for text, own in zip(texts, np.split(ids, ends)):
+        assert own.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, packing.END]
+    for text in texts:
+        assert packing.token_ids(words, text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, packing.END]
+    assert len(words) <= 2 and len(words.older) <= 2 and len(words.others) <= 2
+
+
+def test_runs_of_texts_hold_every_row_once():
+    texts = pa.array([None, "a" * 5, "", "b" * 12, "c" * 3, "d" * 3, None], pa.string())
+    assert list(packing.slices(texts, 6)) == [(0, 3), (3, 1), (4, 3)]
+    assert list(packing.slices(texts.slice(4), 6)) == [(0, 3)]
+    assert list(packing.slices(texts.slice(0, 0), 6)) == []
